@@ -258,15 +258,19 @@ def find(docs: DataFrame, benchmark: DataFrame, **rules: object) -> DataFrame:
     return out
 
 
+def _is_clean(shared: object) -> object:
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        own = Index(**pickle.loads(shared.value))
+        return texts.map(lambda t: not matches(t, own)).astype(bool)
+
+    return clean
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **rules: object) -> DataFrame:
     """Rows of ``docs`` in which no benchmark item is found; no shuffle."""
+    spark = docs.sparkSession
     for index in blocks(benchmark, **rules):
-        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index.__dict__))
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared: object = shared) -> pd.Series:
-            own = Index(**pickle.loads(shared.value))
-            return texts.map(lambda t: not matches(t, own)).astype(bool)
-
-        docs = docs.where(clean(F.col("text")))
+        shared = spark.sparkContext.broadcast(pickle.dumps(index.__dict__))
+        docs = docs.where(_is_clean(shared)(F.col("text")))
     return docs
