@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontam, mixture, shards, simhash, sketch, substring, toxicity
+from weft.llm import chat, decontam, lm, mixture, shards, simhash, sketch, substring, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.strip_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -37,6 +41,17 @@ def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trial = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", trial), (-7, 1, "assistant", trial)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.read_back(chat.pack(rows))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
@@ -46,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_simhash, op2_decontamination, op3_toxicity, op5_substring_dedup, op6_bottom_k, op9_mixture, op10_sharding]
+    found = [op1_simhash, op2_decontamination, op3_toxicity, op4_token_attribution, op5_substring_dedup, op6_bottom_k, op7_context_mixing, op8_chat_tree, op9_mixture, op10_sharding]
     return {f.__name__: f for f in found}
 
 
