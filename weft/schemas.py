@@ -1,0 +1,7 @@
+"""Schemas of the fixed structures; payloads stay variants or string maps."""
+
+ENVELOPE = "id string, source string, timestamp timestamp, payload variant, plugin_name string, plugin_version string, ingest_latency_ms bigint, schema_version string, tenant_id string"
+ENTITY = "id string, stix_type string, tenant_id string, name string, aliases array<string>, types array<string>, description string, confidence int, created timestamp, modified timestamp"
+EDGE = "id string, tenant_id string, src string, dst string, edge_type string, confidence int, created timestamp, modified timestamp"
+CANDIDATE = "id string, candidate_id string, score double, match_type string"
+ALERT = "alert_id string, tenant_id string, entity_ids array<string>, community_id string, summary string, confidence double, timestamp timestamp, source_event_id string"
