@@ -32,7 +32,7 @@ def _norm(v):
     if hasattr(v, "isoformat"):
         return str(pd.Timestamp(v))
     v = v.item() if hasattr(v, "item") else v
-    if isinstance(v, float):
+    if isinstance(v, float) and not math.isinf(v):
         v = round(v, 5)
         return int(v) if v.is_integer() else v
     return int(v) if isinstance(v, bool) else v
@@ -40,7 +40,8 @@ def _norm(v):
 
 def _rows(df):
     cols = sorted(df.columns)
-    return cols, sorted([tuple(map(_norm, r)) for r in df[cols].astype(object).itertuples(index=False, name=None)], key=repr)
+    rows = [tuple(map(_norm, r)) for r in df[cols].astype(object).itertuples(index=False, name=None)]
+    return cols, sorted(rows, key=repr)
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -127,7 +127,7 @@ def test_fixture_and_settings(spark):
 
 def test_stream_dedup_equals_batch(spark, tmp_path):
     start = pd.Timestamp("2024-01-01")
-    rows = [("k", i, start + pd.Timedelta(minutes=m)) for i, m in enumerate((0, 8, 16, 27, 36))]
+    rows = [("k", i, (start + pd.Timedelta(minutes=m)).to_pydatetime()) for i, m in enumerate((0, 8, 16, 27, 36))]
     spark.createDataFrame(rows, "key string, n long, ts timestamp_ntz").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, n long, ts timestamp_ntz").parquet(str(tmp_path / "in"))
     out = stream_dedup(stream, ["key"], "ts", "n", 600)
