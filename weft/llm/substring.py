@@ -168,15 +168,16 @@ def _strip(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         )
 
 
-def _survivors(rows: DataFrame) -> DataFrame:
-    """``(row, at)`` of the windows that occur in two different texts."""
+def _survivors(rows: DataFrame, parts: int) -> DataFrame:
+    """``(row, at)`` of the windows that occur in two different texts; one shuffle serves count and join."""
+    dealt = rows.repartition(parts, "key")
     many = (
-        rows.groupBy("key")
+        dealt.groupBy("key")
         .agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
         .where("low <> high")
         .select("key")
     )
-    return rows.join(many, "key", "left_semi").select("row", "at")
+    return dealt.join(many.hint("shuffle_hash"), "key", "left_semi").select("row", "at")
 
 
 def _by_row(places: DataFrame) -> DataFrame:
@@ -206,11 +207,9 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> Da
         F.col("text").cast("binary").alias("text"),
     )
     slim = base_rows.select("row", "text_key", "text")
-    found = cut(
-        slim.mapInArrow(partial(_first_level, window, base), "key long, text_key long, row long, at int")
-        .transform(_survivors)
-        .transform(_by_row)
-    )
+    parts = shuffle_partitions(spark)
+    kind = "key long, text_key long, row long, at int"
+    found = _by_row(_survivors(slim.mapInArrow(partial(_first_level, window, base), kind), parts))
     # Of equal texts only the least doc_id goes on: all windows of the others start in it.
     texts = base_rows.where("text is not null").groupBy("text_key").agg(F.min("order_id").alias("first_id"))
     firsts = base_rows.select("row", "text_key", "order_id").join(texts, "text_key", "left")
@@ -218,22 +217,22 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> Da
         firsts.groupBy("row").agg(F.max(F.coalesce(F.col("order_id") > F.col("first_id"), F.lit(False))).alias("copy"))
         .where("copy")
     )
-    dealt = base_rows.repartition(shuffle_partitions(spark), "row")
+    dealt = base_rows.repartition(parts, "row")  # the texts' only shuffle: all levels read it
 
     def carrying(places: DataFrame) -> DataFrame:
-        return dealt.join(places.join(copies, "row", "left_anti").hint("shuffle_hash"), "row").dropDuplicates(["row"])
+        return dealt.join(places.join(copies, "row", "left_anti").hint("shuffle_hash"), "row")
 
     for length in levels(window, base)[1:-1]:
         longer = carrying(found).select("row", "text_key", "text", "at")
-        rows = longer.mapInArrow(partial(_extend, window, base, length), "key long, text_key long, row long, at int")
-        found = cut(rows.transform(_survivors).transform(_by_row))
-    last = cut(
+        found = _by_row(_survivors(longer.mapInArrow(partial(_extend, window, base, length), kind), parts))
+    last = (
         carrying(found)
         .select("row", "order_id", "text", "at")
         .mapInArrow(partial(_last_level, window, base), "key long, check long, doc_id long, row long, at int")
+        .repartition(parts, "key", "check")
     )
     least = last.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    later = last.join(least, ["key", "check"]).where("least < doc_id").select("row", "at").transform(_by_row)
+    later = last.join(least.hint("shuffle_hash"), ["key", "check"]).where("least < doc_id").select("row", "at").transform(_by_row)
     return (
         dealt.join(later.hint("shuffle_hash"), "row", "left")
         .join(copies.hint("shuffle_hash"), "row", "left")
