@@ -28,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weft.llm.text import bounds, hash_words, mix64, roll, signed
 from weft.session import cut, shuffle_partitions
 
 WINDOW = 13
 BASE = 4
+_LAST = 2**63 - 1
 
 
 def levels(window: int = WINDOW, base: int = BASE) -> list[int]:
@@ -106,7 +108,7 @@ def _extend(window: int, base: int, length: int, batches: Iterator[pa.RecordBatc
     """Both extensions to ``length`` words of each surviving anchor."""
     out = _Out(["key", "text_key", "row", "at"])
     for batch in batches:
-        rows, keys, texts, places = (batch.column(i) for i in range(4))
+        rows, texts, places, keys = (batch.column(i) for i in (0, 2, 3, 4))
         for row, key, text, at in zip(rows.to_numpy(), keys.to_numpy(), texts, places):
             at = np.unique(at.values.to_numpy())
             grams = roll(hash_words(text.as_py()), length)
@@ -126,7 +128,7 @@ def _last_level(window: int, base: int, batches: Iterator[pa.RecordBatch]) -> It
     out = _Out(["key", "check", "doc_id", "row", "at"])
     for batch in batches:
         rows, docs, texts, places = (batch.column(i) for i in range(4))
-        for row, doc, text, at in zip(rows.to_numpy(), docs.to_numpy(), texts, places):
+        for row, doc, text, at in zip(rows.to_numpy(), docs.fill_null(_LAST).to_numpy(), texts, places):
             at = np.unique(at.values.to_numpy())
             words = hash_words(text.as_py())
             starts = np.zeros(len(words) - window + 2, dtype=np.int64)
@@ -145,7 +147,7 @@ def _last_level(window: int, base: int, batches: Iterator[pa.RecordBatch]) -> It
 
 def _strip(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, texts, places, copies = (batch.column(i) for i in range(4))
+        docs, texts, places, copies = (batch.column(i) for i in range(1, 5))
         n_words, n_removed, digests, kept_texts = [], [], [], []
         for text, at, copy in zip(texts, places, copies):
             words = (text.as_py() or b"").split()
@@ -168,16 +170,11 @@ def _strip(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         )
 
 
-def _survivors(rows: DataFrame, parts: int) -> DataFrame:
-    """``(row, at)`` of the windows that occur in two different texts; one shuffle serves count and join."""
-    dealt = rows.repartition(parts, "key")
-    many = (
-        dealt.groupBy("key")
-        .agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
-        .where("low <> high")
-        .select("key")
-    )
-    return dealt.join(many.hint("shuffle_hash"), "key", "left_semi").select("row", "at")
+def _survivors(rows: DataFrame) -> DataFrame:
+    """``(row, at)`` of the windows that occur in two different texts, in one shuffle."""
+    same = W.partitionBy("key")
+    seen = rows.withColumn("low", F.min("text_key").over(same)).withColumn("high", F.max("text_key").over(same))
+    return seen.where("low <> high").select("row", "at")
 
 
 def _by_row(places: DataFrame) -> DataFrame:
@@ -197,46 +194,37 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> Da
     a null ``doc_id`` is after all others and strips nothing elsewhere; an empty
     table gives no rows; other columns do not matter.
     """
-    spark = docs.sparkSession
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     base_rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        ident.alias("order_id"),
-        F.xxhash64("text").alias("text_key"),
-        F.xxhash64(ident, F.col("text")).alias("row"),
-        F.col("text").cast("binary").alias("text"),
+        F.xxhash64(ident, F.col("text")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
-    slim = base_rows.select("row", "text_key", "text")
-    parts = shuffle_partitions(spark)
+    keyed = base_rows.withColumn("text_key", F.xxhash64("text"))
     kind = "key long, text_key long, row long, at int"
-    found = _by_row(_survivors(slim.mapInArrow(partial(_first_level, window, base), kind), parts))
+    found = _by_row(
+        _survivors(keyed.select("row", "text_key", "text").mapInArrow(partial(_first_level, window, base), kind))
+    )
     # Of equal texts only the least doc_id goes on: all windows of the others start in it.
-    texts = base_rows.where("text is not null").groupBy("text_key").agg(F.min("order_id").alias("first_id"))
-    firsts = base_rows.select("row", "text_key", "order_id").join(texts, "text_key", "left")
+    slim = keyed.where("text is not null").select("row", "text_key", F.coalesce("doc_id", F.lit(_LAST)).alias("order_id"))
+    least_id = slim.groupBy("text_key").agg(F.min("order_id").alias("first_id"))
     copies = cut(
-        firsts.groupBy("row").agg(F.max(F.coalesce(F.col("order_id") > F.col("first_id"), F.lit(False))).alias("copy"))
-        .where("copy")
+        slim.join(least_id, "text_key").where("order_id > first_id").groupBy("row").agg(F.lit(True).alias("copy"))
     )
-    dealt = base_rows.repartition(parts, "row")  # the texts' only shuffle: all levels read it
+    # The texts' only shuffle: all levels read the same columns of it, so it is made once.
+    dealt = base_rows.repartition(shuffle_partitions(docs.sparkSession), "row")
 
     def carrying(places: DataFrame) -> DataFrame:
-        return dealt.join(places.join(copies, "row", "left_anti").hint("shuffle_hash"), "row")
+        return dealt.join(places.join(copies, "row", "left_anti").hint("shuffle_hash"), "row").select("row", "doc_id", "text", "at")
 
     for length in levels(window, base)[1:-1]:
-        longer = carrying(found).select("row", "text_key", "text", "at")
-        found = _by_row(_survivors(longer.mapInArrow(partial(_extend, window, base, length), kind), parts))
-    last = (
-        carrying(found)
-        .select("row", "order_id", "text", "at")
-        .mapInArrow(partial(_last_level, window, base), "key long, check long, doc_id long, row long, at int")
-        .repartition(parts, "key", "check")
-    )
-    least = last.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    later = last.join(least.hint("shuffle_hash"), ["key", "check"]).where("least < doc_id").select("row", "at").transform(_by_row)
+        longer = carrying(found).withColumn("text_key", F.xxhash64("text"))
+        found = _by_row(_survivors(longer.mapInArrow(partial(_extend, window, base, length), kind)))
+    last = carrying(found).mapInArrow(partial(_last_level, window, base), "key long, check long, doc_id long, row long, at int")
+    same = W.partitionBy("key", "check")
+    later = _by_row(last.withColumn("least", F.min("doc_id").over(same)).where("least < doc_id").select("row", "at"))
     return (
         dealt.join(later.hint("shuffle_hash"), "row", "left")
         .join(copies.hint("shuffle_hash"), "row", "left")
-        .select("doc_id", "text", "at", "copy")
+        .select("row", "doc_id", "text", "at", "copy")
         .mapInArrow(
             partial(_strip, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
         )
