@@ -39,11 +39,15 @@ _LAST = 2**63 - 1
 
 
 def levels(window: int = WINDOW, base: int = BASE) -> list[int]:
-    """Window lengths from ``base``, doubling, up to ``window``."""
+    """Window lengths: ``base``, doubling while no repeat can be lost, and last ``window``.
+
+    A window holds the left or the right extension of its anchor whole as long
+    as twice the extension is no longer than ``window + base + 1``.
+    """
     out = [min(base, window)]
-    while out[-1] < window:
-        out.append(min(2 * out[-1], window))
-    return out
+    while 4 * out[-1] <= window + base + 1:
+        out.append(2 * out[-1])
+    return out if out[-1] == window else [*out, window]
 
 
 def _slide(x: np.ndarray, width: int, pick: Callable) -> np.ndarray:
@@ -100,17 +104,20 @@ def _first_level(window: int, base: int, batches: Iterator[pa.RecordBatch]) -> I
                 continue
             grams = roll(words, base)
             at = anchors(grams, window - base + 1)
-            yield from out.add(signed(grams[at]), np.full(len(at), key), np.full(len(at), row), at.astype(np.int32))
+            yield from out.add(signed(grams[at]), np.full(len(at), key), np.full(len(at), row), (2 * at + 1).astype(np.int32))
     yield from out.flush()
 
 
 def _extend(window: int, base: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both extensions to ``length`` words of each surviving anchor."""
+    """Both extensions to ``length`` words of each surviving anchor.
+
+    Places travel as twice the anchor's, plus one for the extension to the right.
+    """
     out = _Out(["key", "text_key", "row", "at"])
     for batch in batches:
         rows, texts, places, keys = (batch.column(i) for i in (0, 2, 3, 4))
         for row, key, text, at in zip(rows.to_numpy(), keys.to_numpy(), texts, places):
-            at = np.unique(at.values.to_numpy())
+            at = np.unique(at.values.to_numpy() >> 1)
             grams = roll(hash_words(text.as_py()), length)
             for side, start in ((0, at - (length - base)), (1, at)):
                 ok = (start >= 0) & (start < len(grams))
@@ -118,22 +125,23 @@ def _extend(window: int, base: int, length: int, batches: Iterator[pa.RecordBatc
                     signed(mix64(grams[start[ok]] + np.uint64(side))),
                     np.full(ok.sum(), key),
                     np.full(ok.sum(), row),
-                    at[ok].astype(np.int32),
+                    (2 * at[ok] + side).astype(np.int32),
                 )
     yield from out.flush()
 
 
-def _last_level(window: int, base: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every full window whose anchor has survived, under two hashes."""
+def _last_level(window: int, base: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every full window around a surviving extension of ``length`` words, under two hashes."""
     out = _Out(["key", "check", "doc_id", "row", "at"])
     for batch in batches:
         rows, docs, texts, places = (batch.column(i) for i in range(4))
         for row, doc, text, at in zip(rows.to_numpy(), docs.fill_null(_LAST).to_numpy(), texts, places):
             at = np.unique(at.values.to_numpy())
+            begin = np.where(at & 1, at >> 1, (at >> 1) - (length - base))
             words = hash_words(text.as_py())
             starts = np.zeros(len(words) - window + 2, dtype=np.int64)
-            np.add.at(starts, np.maximum(at - (window - base), 0), 1)
-            np.add.at(starts, np.minimum(at, len(words) - window) + 1, -1)
+            np.add.at(starts, np.maximum(begin + length - window, 0), 1)
+            np.add.at(starts, np.minimum(begin, len(words) - window) + 1, -1)
             start = np.flatnonzero(np.cumsum(starts[:-1]) > 0)
             yield from out.add(
                 signed(roll(words, window)[start]),
@@ -215,10 +223,11 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> Da
     def carrying(places: DataFrame) -> DataFrame:
         return dealt.join(places.join(copies, "row", "left_anti").hint("shuffle_hash"), "row").select("row", "doc_id", "text", "at")
 
-    for length in levels(window, base)[1:-1]:
+    steps = levels(window, base)
+    for length in steps[1:-1]:
         longer = carrying(found).withColumn("text_key", F.xxhash64("text"))
         found = _by_row(_survivors(longer.mapInArrow(partial(_extend, window, base, length), kind)))
-    last = carrying(found).mapInArrow(partial(_last_level, window, base), "key long, check long, doc_id long, row long, at int")
+    last = carrying(found).mapInArrow(partial(_last_level, window, base, steps[-2] if len(steps) > 1 else base), "key long, check long, doc_id long, row long, at int")
     same = W.partitionBy("key", "check")
     later = _by_row(last.withColumn("least", F.min("doc_id").over(same)).where("least < doc_id").select("row", "at"))
     return (
