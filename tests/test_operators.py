@@ -131,9 +131,8 @@ def test_stream_dedup_equals_batch(spark, tmp_path):
     spark.createDataFrame(rows, "key string, n long, ts timestamp_ntz").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, n long, ts timestamp_ntz").parquet(str(tmp_path / "in"))
     out = stream_dedup(stream, ["key"], "ts", "n", 600)
-    query = out.writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
+    query = out.writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+    query.awaitTermination(60)
     got = {r["n"]: r["is_new"] for r in spark.table("fresh").collect()}
     assert got == {0: True, 1: False, 2: False, 3: True, 4: False}
 
