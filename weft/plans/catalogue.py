@@ -306,7 +306,7 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(_CO_SQL + """
-, b AS (SELECT c_custkey AS id, max(shared) AS m, min_by(candidate_id, (-shared, candidate_id)) AS c FROM customer LEFT JOIN c ON id = c_custkey GROUP BY 1),
+, b AS (SELECT c_custkey AS id, max(shared) AS m, min_by(candidate_id, (-least(shared / 10.0::DOUBLE, 1.0), candidate_id)) AS c FROM customer LEFT JOIN c ON id = c_custkey GROUP BY 1),
 t AS (SELECT id, c, CASE WHEN m IS NULL THEN 0.0::DOUBLE ELSE least(m / 10.0::DOUBLE, 1.0) END AS s FROM b)
 SELECT id, CASE WHEN s >= 0.95 THEN 'auto_merge' WHEN s >= 0.5 THEN 'ambiguous' ELSE 'new_entity' END AS decision,
   CASE WHEN s >= 0.5 THEN c END AS matched_entity_id, s AS confidence_score FROM t""")
