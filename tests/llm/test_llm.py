@@ -2,12 +2,14 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weft.llm import chat, decontam, lm, mixture, queries, shards, simhash, sketch, substring, tokens, toxicity
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long"
 LONG = " ".join(f"w{i % 97}x{i % 13}" for i in range(6000))
 ROWS = [
@@ -156,3 +158,15 @@ def test_lm(spark, docs, none):
 def test_registered():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{i}" for i in range(1, 11)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    cols = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(cols)
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(want.fetchall())

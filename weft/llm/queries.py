@@ -49,7 +49,7 @@ def op8_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     trial = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", trial), (-7, 1, "assistant", trial)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    return chat.read_back(chat.pack(rows))
+    return chat.read_back(chat.pack(rows)).drop("n_tokens")
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,47 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+_OP5 = r'''
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+),
+place as (select doc_id, w, unnest(generate_series(1, len(w) - 12)) as i from d),
+win as (select doc_id, i, w[i : i + 12] as g from place),
+earliest as (select g, min(doc_id) as least from win group by g),
+hit as (select doc_id, i from win join earliest using (g) where least < doc_id),
+gone as (select distinct doc_id, i + k as i from hit, generate_series(0, 12) t(k)),
+word as (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as i from d),
+left_over as (
+  select doc_id, count(*) as n, string_agg(x, ' ' order by i) as kept
+  from word anti join gone using (doc_id, i) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from d left join left_over using (doc_id)
+'''
+
+_OP8 = r'''
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+told as (
+  select conv_id, count(*)::bigint as n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+         coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '') as loss,
+         string_agg(
+           '<|turn|>' || replace(replace(role, '\', '\\'), '<|', '<\|') || '<|text|>'
+           || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>', '' order by turn, role, text
+         ) as formatted
+  from c group by conv_id
+)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256,
+       length(formatted)::bigint as formatted_chars
+from told
+'''
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    # Stated independently of the operators: windows compared as words, turns as text.
+    return {"op5_substring_dedup": _OP5, "op8_chat_tree": _OP8}
