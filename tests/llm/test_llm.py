@@ -90,6 +90,11 @@ def test_mixture(docs, none):
     taken = mixture.take(docs).select(F.sum(mixture.word_count(F.col("text")))).first()[0]
     once = {(r["doc_id"], r["size"]): r["taken"] for r in got}
     assert taken == pytest.approx(sum(once.values()), rel=0.02)
+    uneven = docs.union(docs.sparkSession.createDataFrame([(100 + i, f"only word{i}", "en", "d", 1, 0) for i in range(40)], SCHEMA))
+    counts = {r["doc_id"]: r["taken"] for r in mixture.mix(uneven).collect()}
+    passes = {r["doc_id"] for r in mixture.take(uneven).where(mixture.word_count(F.col("text")) > 0).collect()}
+    assert {r["doc_id"] for r in mixture.take(uneven).collect()} == passes == {i for i, n in counts.items() if n}
+    assert 0 in counts.values()
     assert mixture.mix(none).count() == 0
 
 

@@ -191,7 +191,8 @@ def take(docs: DataFrame, seed: int = SEED, **options: object) -> DataFrame:
 
     Columns are those of ``docs``. A pass that takes all of a row's blocks gives
     its text unchanged; otherwise the text holds the words of the blocks taken,
-    in order, joined by one space, and ``n_chars`` (if there) is set anew.
+    in order, joined by one space, and ``n_chars`` (if there) is set anew. A row
+    none of whose blocks are taken gives no row.
     """
     m = F.col("mix")
     placed = plan(docs, seed, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), "mix")
@@ -211,6 +212,7 @@ def take(docs: DataFrame, seed: int = SEED, **options: object) -> DataFrame:
         .where("turn > 0")
         .withColumn("spans", F.filter("spans", lambda s: s["times"] >= F.col("turn")))
         .withColumn("part", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]))
+        .where("part > 0")
         .select("_id", "_key", F.when(F.col("part") < F.col("_size"), F.col("spans")).alias("_spans"))
     )
     words = F.filter(F.split("text", GAPS), lambda w: w != "")
