@@ -103,6 +103,14 @@ def test_shards(docs, none):
     assert len(got) == len(ROWS)
     for s in {r["shard"] for r in got}:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    many = [(i, f"text {i} " + "y" * (i % 50)) for i in range(600)]
+    many += [(1000 + i, f"pair {i // 2}") for i in range(200)] + [(2000 + i, "the hot text") for i in range(400)]
+    made = shards.assign(docs.sparkSession.createDataFrame(many, "doc_id long, text string")).collect()
+    load = [sum(r["size"] for r in made if r["shard"] == s) for s in range(16)]
+    assert sorted(r["doc_id"] for r in made) == sorted(i for i, _ in many)
+    assert max(load) - min(load) <= 0.1 * sum(load) / 16
+    home = {r["doc_id"]: r["shard"] for r in made}
+    assert sum(home[i] == home[i + 1] for i in range(1000, 1200, 2)) >= 80
     assert shards.assign(none).count() == 0
 
 

@@ -4,8 +4,13 @@ Documents with equal texts are linked. Every document starts in a shard drawn
 from its id; in each round a document of a linked group asks to move to the
 shard that holds most of its group, and asks are granted by quotas on the bytes
 that may flow from shard to shard, so that no shard passes its capacity.
-Rounds are joins on the group key; a group larger than a shard's capacity is
-beforehand split into parts that fit, so a hot group is never one label.
+
+Documents of one group and one draw always move together, so rounds join and sum
+the table of groups by draws, with at most ``SHARDS * DRAWS`` rows a group.
+Documents meet it twice: in the sum that makes it, combined before the shuffle,
+and in the join that brings their shards, on group and draw, which deals a hot
+group over as many keys. A group larger than half a shard is beforehand split by
+draws into parts that fit, so it is never one label.
 
 Unlinked documents have no neighbour to follow. They are dealt last, in buckets
 of hashed ids, always to the shard with the fewest bytes, which evens sizes.
@@ -23,6 +28,7 @@ from weft.session import cut, shuffle_partitions
 
 SHARDS = 16
 ROUNDS = 4
+DRAWS = 4
 BUCKETS = 65_536
 _GRID = 1_000_000
 
@@ -74,7 +80,7 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
 
 
 def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
-    """Labels of linked rows ``(row, link, size, shard)`` after ``rounds`` rounds."""
+    """Labels of linked parts ``(copy, start, size, link, shard)`` after ``rounds`` rounds."""
     for turn in range(rounds):
         held = linked.groupBy("link", "shard").agg(F.sum("size").alias("n"))
         best = held.groupBy("link").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b")).select("link", (-F.col("b.s")).alias("wish"))
@@ -85,7 +91,7 @@ def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int) -> D
             break
         share = quotas(asked, _loads(linked, shards), capacity)
         grant = F.create_map(*[x for (a, b), v in share.items() for x in (F.lit(a * shards + b), F.lit(int(v * _GRID)))])
-        # all of a group's rows in one shard move or stay together
+        # all of a group's parts in one shard move or stay together
         move = (F.col("wish") != F.col("shard")) & (_draw(turn + 1, "link", "shard") < grant[F.col("shard") * shards + F.col("wish")])
         linked = cut(asking.withColumn("shard", F.when(F.coalesce(move, F.lit(False)), F.col("wish")).otherwise(F.col("shard"))).drop("wish"))
     return linked
@@ -109,23 +115,29 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, buckets:
         F.xxhash64("text").alias("text_key"),
         F.xxhash64(text).alias("_h"),
     )
-    rows = cut(rows.withColumn("link", F.xxhash64("_h", "text_crc32", "size")).drop("_h"))
-    groups = rows.groupBy("link").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes")).where("members > 1")
+    draws = shards * DRAWS
+    rows = cut(
+        rows.withColumn("copy", F.xxhash64("_h", "text_crc32", "size"))
+        .withColumn("start", F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.lit(draws)).cast("int"))
+        .drop("_h")
+    )
     total = int(rows.agg(F.sum("size").alias("n")).first()["n"] or 0)
     capacity = total / shards
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (max(capacity, 1.0) / 2))).cast("int")
-    groups = cut(groups.select("link", pieces.alias("pieces")))
-    linked = rows.join(groups, "link").withColumn(
-        "link", F.when(F.col("pieces") > 1, F.xxhash64("link", F.pmod(F.xxhash64("doc_id"), F.col("pieces")))).otherwise(F.col("link"))
-    ).drop("pieces")
-    linked = cut(linked.withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.lit(shards)).cast("int")))
+    state = rows.groupBy("copy", "start").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("size"))
+    group = W.partitionBy("copy")  # at most ``draws`` rows a group, however many its documents
+    state = state.select("*", F.sum("size").over(group).alias("bytes"), F.sum("members").over(group).alias("copies")).where("copies > 1")
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (max(capacity, 1.0) / 2)))
+    label = F.when(pieces > 1, F.xxhash64("copy", F.floor(F.col("start") * pieces / draws))).otherwise(F.col("copy"))
+    linked = cut(state.select("copy", "start", "size", label.alias("link"), F.pmod("start", F.lit(shards)).cast("int").alias("shard")))
     linked = propagate(linked, shards, capacity, rounds)
-    single = rows.join(groups, "link", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "link"), F.lit(buckets)).cast("int"))
-    sums = [(r["bucket"], int(r["n"])) for r in single.groupBy("bucket").agg(F.sum("size").alias("n")).collect()]
+    bucket = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets)).cast("int")
+    rows = cut(rows.join(linked.select("copy", "start", "shard"), ["copy", "start"], "left").withColumn("bucket", F.when(F.col("shard").isNull(), bucket)))
+    sums = [(r["bucket"], int(r["n"])) for r in rows.where("bucket is not null").groupBy("bucket").agg(F.sum("size").alias("n")).collect()]
     # one entry a bucket, so at most ``buckets`` entries
-    seats = spark.createDataFrame(deal(sums, _loads(linked, shards)), "bucket int, shard int")
-    cols = ["doc_id", "size", "text_crc32", "text_key", "shard"]
-    placed = linked.select(*cols).union(single.join(F.broadcast(seats), "bucket").select(*cols))
+    seats = spark.createDataFrame(deal(sums, _loads(linked, shards)), "bucket int, seat int")
+    placed = rows.join(F.broadcast(seats), "bucket", "left").select(
+        "doc_id", "size", "text_crc32", "text_key", F.coalesce("shard", "seat").alias("shard")
+    )
     return number(placed, spark).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "text_key"
     )
