@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import chat, decontam, lm, mixture, queries, shards, simhash, sketch, substring, tokens, toxicity
+from weft.llm import chat, decontam, lm, mixture, neardup, queries, shards, simhash, sketch, substring, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long"
@@ -51,6 +51,53 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def _brute_components(texts):
+    """Least index reachable over pairs of five-word Jaccard similarity 0.8 or more."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    comp = list(range(len(sets)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if not a and not b or a and b and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                comp[y] = x
+    return [root(i) for i in range(len(sets))]
+
+
+def test_near_copies(spark, docs, none):
+    rng = np.random.default_rng(3)
+    texts = [t for _, t, *_ in ROWS]
+    for base in range(12):
+        words = [f"b{base}x{w}" for w in rng.integers(0, 400, 120)]
+        for copy in range(3 + 9 * (base == 0)):
+            own = list(words)
+            for at in rng.choice(120, int(rng.integers(0, 7)), replace=False):
+                own[at] = f"c{base}y{copy}z{at}"
+            texts.append(" ".join(own) + (" one line that very many of the texts have in common" if base % 2 else ""))
+    comp = _brute_components(texts)
+    small = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot, block_rows in ((32, 2048), (2, 8)):
+        got = neardup.components(small, hot=hot, block_rows=block_rows).collect()
+        mine = {}
+        for r in got:
+            mine.setdefault(r["root"], []).append(r["doc_id"])
+        assert sorted(min(m) for m in mine.values()) == sorted(set(comp))
+        assert {i: min(m) for m in mine.values() for i in m} == dict(enumerate(comp))
+    import corpus_pipeline
+
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, small, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(comp))
+    assert neardup.keep_one(none).count() == 0
+    assert neardup.keep_one(docs).columns == docs.columns
+
+
 def test_substring(docs, none):
     got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.strip_repeats(docs).collect()}
     words = [(i, (t or "").encode().split()) for i, t, *_ in ROWS]
