@@ -98,6 +98,15 @@ def test_near_copies(spark, docs, none):
     assert neardup.keep_one(docs).columns == docs.columns
 
 
+def test_components_with_null_or_shared_ids_each_keep_a_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(None, one), (None, one), (None, two), (7, one), (8, two), (8, three), (8, three), (None, "lonely text")]
+    want = sorted([(7, one), (8, two), (8, three), (-1, "lonely text")])
+    for keep in (simhash.keep_one, neardup.keep_one):
+        got = keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in got) == want
+
+
 def test_substring(docs, none):
     got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.strip_repeats(docs).collect()}
     words = [(i, (t or "").encode().split()) for i, t, *_ in ROWS]

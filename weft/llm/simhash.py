@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.neardup import keep_least
 from weft.operators.components import connected_components
 from weft.session import cut
 
@@ -199,6 +200,19 @@ def links(prints: DataFrame, radius: int = 4, hot: int = 64, block_rows: int = 8
     return pairs.union(forest)
 
 
+def _rooted(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Rows with their fingerprint ``fp``, the ``root`` of its component and that component's least id."""
+    prints = cut(fingerprints(docs, shingle))
+    own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    joined = connected_components(links(own, radius), "a", "b")
+    rooted = own.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("root")
+    )
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = cut(rooted.join(named, "root").select("fp", "root", "component_id"))
+    return prints.join(labels, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of ``docs``: its fingerprint and its component.
 
@@ -210,34 +224,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     member has an id; repeated rows are all returned; an empty table gives
     no rows; other columns do not matter.
     """
-    prints = cut(fingerprints(docs, shingle))
-    own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = connected_components(links(own, radius), "a", "b")
-    rooted = own.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return prints.join(labels, "fp").select(
+    return _rooted(docs, shingle, radius).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key"
     )
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: its least ``doc_id``.
+    """The rows of ``docs`` that stand for their component: its least ``(doc_id, text_key)``.
 
-    Repeated rows count as copies of each other, so one of them stays. All
-    columns of ``docs`` are kept.
+    Components never meet: null ids and an id that unrelated texts repeat keep
+    a row for each component. Repeated rows count as copies of each other, so
+    one of them stays. All columns of ``docs`` are kept.
     """
-    found = near_duplicates(docs, shingle, radius)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
-    )
-    stay = cut(stay.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("_n")))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    kept = keyed.join(
-        stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi"
-    )
-    if stay.where("_n > 1 or _id is null").limit(1).count() or stay.groupBy("_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.drop("_text_key")
+    return keep_least(docs, cut(_rooted(docs, shingle, radius)))
