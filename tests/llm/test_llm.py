@@ -170,6 +170,23 @@ def test_shards(docs, none):
     assert shards.assign(none).count() == 0
 
 
+@pytest.mark.parametrize("each, part", [(2, 0.3), (3, 0.3), (2, 0.8)])
+def test_shards_keep_groups_whole(spark, each, part):
+    """A group of a third of all bytes beside pairs or triples: only the large group is split."""
+    n = 1800
+    alone = 0 if part > 0.5 else int(n * (1 - part - 1 / 3))
+    grouped = int(n * part) // each * each
+    many = [(i, f"alone {i:08d}") for i in range(alone)]
+    many += [(10_000 + i, f"group {i // each:08d}") for i in range(grouped)]
+    many += [(20_000 + i, "large 00000000") for i in range(n - alone - grouped if part < 0.5 else 0)]
+    made = shards.assign(spark.createDataFrame(many, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r["doc_id"] for r in made) == sorted(i for i, _ in many)
+    home = {r["doc_id"]: r["shard"] for r in made}
+    assert not [i for i in range(grouped) if home[10_000 + i] != home[10_000 + i // each * each]]
+    load = [sum(r["size"] for r in made if r["shard"] == s) for s in range(16)]
+    assert max(load) <= 1.05 * sum(load) / 16
+
+
 def test_decontamination(spark, docs, none):
     item = "A rare benchmark question, about seven purple otters juggling glass marbles!"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short"), (1, "x" * 5)], "item_id long, text string")

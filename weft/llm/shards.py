@@ -12,8 +12,14 @@ and in the join that brings their shards, on group and draw, which deals a hot
 group over as many keys. A group larger than half a shard is beforehand split by
 draws into parts that fit, so it is never one label.
 
-Unlinked documents have no neighbour to follow. They are dealt last, in buckets
-of hashed ids, always to the shard with the fewest bytes, which evens sizes.
+Groups of at least ``1 / LARGE`` of a shard are seated first, largest first, and
+stay. A tie goes to the shard with most room, then by a hash of the group. Grants
+are drawn by group and can pass the capacity: a shard that does gives groups up
+again. Groups given up, and those still split after the rounds, are dealt whole.
+
+Unlinked documents have no neighbour to follow. They are dealt last with those
+groups, in buckets of hashed ids or groups, always to the shard with the fewest
+bytes, which evens sizes.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ SHARDS = 16
 ROUNDS = 4
 DRAWS = 4
 BUCKETS = 65_536
+LARGE = 64
+CELLS = 4096
 _GRID = 1_000_000
 
 
@@ -82,14 +90,17 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
 def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int) -> DataFrame:
     """Labels of linked parts ``(copy, start, size, link, shard)`` after ``rounds`` rounds."""
     for turn in range(rounds):
+        loads = _loads(linked, shards)
+        room = F.array(*[F.lit(int(capacity) - n) for n in loads])[F.col("shard")]
         held = linked.groupBy("link", "shard").agg(F.sum("size").alias("n"))
-        best = held.groupBy("link").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b")).select("link", (-F.col("b.s")).alias("wish"))
+        rank = F.struct("n", room.alias("room"), F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("s"))
+        best = held.groupBy("link").agg(F.max(rank).alias("b")).select("link", F.col("b.s").alias("wish"))
         asking = cut(linked.join(best, "link"))
         flows = asking.where("wish <> shard").groupBy("shard", "wish").agg(F.sum("size").alias("n")).collect()
         asked = {(r["shard"], r["wish"]): int(r["n"]) for r in flows}
         if not asked:
             break
-        share = quotas(asked, _loads(linked, shards), capacity)
+        share = quotas(asked, loads, capacity)
         grant = F.create_map(*[x for (a, b), v in share.items() for x in (F.lit(a * shards + b), F.lit(int(v * _GRID)))])
         # all of a group's parts in one shard move or stay together
         move = (F.col("wish") != F.col("shard")) & (_draw(turn + 1, "link", "shard") < grant[F.col("shard") * shards + F.col("wish")])
@@ -97,12 +108,44 @@ def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int) -> D
     return linked
 
 
+def seat_large(linked: DataFrame, shards: int, capacity: float) -> DataFrame:
+    """Labels with every link of at least ``1 / LARGE`` of a shard whole in one shard."""
+    # at most ``shards * LARGE`` links are so large
+    large = linked.groupBy("link").agg(F.sum("size").alias("n")).where(F.col("n") >= max(capacity, 1.0) / LARGE).collect()
+    seats = deal([(r["link"], int(r["n"])) for r in large], [0] * shards)
+    seats = linked.sparkSession.createDataFrame(seats, "link long, seat int")
+    return linked.join(F.broadcast(seats), "link", "left").withColumn("shard", F.coalesce("seat", "shard")).drop("seat")
+
+
+def settle(linked: DataFrame, shards: int, capacity: float) -> DataFrame:
+    """``(link, home, size)``: the one shard a link is whole in, or null if it must be dealt anew.
+
+    That is so if it is still split, or is given up by a shard over its capacity.
+    """
+    whole = linked.groupBy("link").agg(F.min("shard").alias("home"), F.max("shard").alias("last"), F.sum("size").alias("size"))
+    whole = cut(whole.select("link", F.when(F.col("home") == F.col("last"), F.col("home")).alias("home"), "size"))
+    loads = _loads(whole.select(F.col("home").alias("shard"), "size"), shards)
+    if max(loads) <= capacity:
+        return whole
+    cell = F.pmod(F.xxhash64(F.lit("cell"), "link"), F.lit(CELLS))
+    small = whole.where((F.col("size") < max(capacity, 1.0) / LARGE) & F.col("home").isNotNull())
+    # at most ``shards * CELLS`` sums
+    cells = {(r["home"], r["cell"]): r["n"] for r in small.groupBy("home", cell.alias("cell")).agg(F.sum("size").alias("n")).collect()}
+    below = [0] * shards
+    for shard in range(shards):
+        while loads[shard] > capacity and below[shard] < CELLS:
+            loads[shard] -= int(cells.get((shard, below[shard]), 0))
+            below[shard] += 1
+    leave = (F.col("size") < max(capacity, 1.0) / LARGE) & (cell < F.array(*map(F.lit, below))[F.col("home")])
+    return whole.withColumn("home", F.when(~F.coalesce(leave, F.lit(False)), F.col("home")))
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, text_key)`` for every row.
 
     The law is ``bytes``: shards' sums of sizes (UTF-8 bytes of the text plus
-    one) come out nearly equal, and equal texts share a shard unless a group is
-    larger than a shard may be. Null texts are empty; rows with a null or
+    one) come out nearly equal, and equal texts share a shard unless their group
+    is larger than half a shard. Null texts are empty; rows with a null or
     repeated ``doc_id`` are rows like others; an empty table gives no rows; other
     columns do not matter. Slots number a shard's rows from 0 without gaps.
     """
@@ -129,12 +172,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, buckets:
     pieces = F.greatest(F.lit(1), F.ceil(F.col("bytes") / (max(capacity, 1.0) / 2)))
     label = F.when(pieces > 1, F.xxhash64("copy", F.floor(F.col("start") * pieces / draws))).otherwise(F.col("copy"))
     linked = cut(state.select("copy", "start", "size", label.alias("link"), F.pmod("start", F.lit(shards)).cast("int").alias("shard")))
-    linked = propagate(linked, shards, capacity, rounds)
+    linked = propagate(cut(seat_large(linked, shards, capacity)), shards, capacity, rounds)
+    home = cut(settle(linked, shards, capacity))
+    loads = _loads(home.select(F.col("home").alias("shard"), "size"), shards)
+    group_bucket = F.when(F.col("home").isNull(), F.pmod(F.xxhash64("link"), F.lit(buckets)) + buckets).cast("int")
+    linked = linked.select("copy", "start", "link").join(home, "link").select("copy", "start", F.col("home").alias("shard"), group_bucket.alias("dealt"))
     bucket = F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets)).cast("int")
-    rows = cut(rows.join(linked.select("copy", "start", "shard"), ["copy", "start"], "left").withColumn("bucket", F.when(F.col("shard").isNull(), bucket)))
+    rows = cut(rows.join(linked, ["copy", "start"], "left").withColumn("bucket", F.when(F.col("shard").isNull(), F.coalesce("dealt", bucket))))
     sums = [(r["bucket"], int(r["n"])) for r in rows.where("bucket is not null").groupBy("bucket").agg(F.sum("size").alias("n")).collect()]
-    # one entry a bucket, so at most ``buckets`` entries
-    seats = spark.createDataFrame(deal(sums, _loads(linked, shards)), "bucket int, seat int")
+    # one entry a bucket, so at most twice ``buckets`` entries
+    seats = spark.createDataFrame(deal(sums, loads), "bucket int, seat int")
     placed = rows.join(F.broadcast(seats), "bucket", "left").select(
         "doc_id", "size", "text_crc32", "text_key", F.coalesce("shard", "seat").alias("shard")
     )
