@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weft.functions import exprs, hashing
 from weft.operators import deliver, extract, graph, ingest, resolve
 from weft.operators.components import connected_components
+from weft.plans import catalogue
 from weft.sources.fixture import graph_fixture
 from weft.sources.tables import settings_list
 from weft.streaming.dedup import stream_dedup
@@ -145,3 +146,10 @@ def test_stream_split(spark, tmp_path):
     split_stream(stream, good, bad, str(tmp_path / "cp")).awaitTermination()
     assert [r["id"] for r in spark.read.parquet(good).collect()] == [1]
     assert [r["error_type"] for r in spark.read.parquet(bad).collect()] == ["SchemaViolation"]
+
+
+def test_incremental_components_without_hops_follow_a_long_chain(spark, monkeypatch):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(50, 51)], "src long, dst long")
+    monkeypatch.setattr(catalogue, "_links", lambda *_: links)
+    got = {tuple(r) for r in catalogue.queries()["incremental_components"](spark, "").collect()}
+    assert got == {(i, 1) for i in range(1, 13)}

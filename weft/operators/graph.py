@@ -55,8 +55,15 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "src", "dst")
 
 
-def incremental_components(edges: DataFrame, origins: DataFrame, hops: int = 2) -> DataFrame:
-    """Components of the subgraph within ``hops`` of the origins; a lone origin is one."""
+def incremental_components(edges: DataFrame, origins: DataFrame, hops: int | None = 2) -> DataFrame:
+    """Components of the subgraph within ``hops`` of the origins; a lone origin is one.
+
+    Without ``hops``, the origins' whole components.
+    """
+    if hops is None:
+        alone = origins.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+        whole = cut(components(edges.select("src", "dst").union(alone)))
+        return whole.join(whole.join(origins.select("id"), "id", "left_semi").select("component").distinct(), "component").select("id", "component")
     scope = cut(khop(edges, origins, hops).select("id").distinct())
     inside = with_both_ends(edges, scope).select("src", "dst")
     return components(inside.union(scope.select(F.col("id").alias("src"), F.col("id").alias("dst"))))

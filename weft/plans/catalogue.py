@@ -466,7 +466,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)
     origin = links.agg(F.min("src").alias("id"))
-    return graph.incremental_components(links, origin, hops=6)
+    return graph.incremental_components(links, origin, hops=None)
 
 
 @register(_LINK_SQL + "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM n)")
