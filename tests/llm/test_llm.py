@@ -83,8 +83,8 @@ def test_near_copies(spark, docs, none):
             texts.append(" ".join(own) + (" one line that very many of the texts have in common" if base % 2 else ""))
     comp = _brute_components(texts)
     small = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for hot, block_rows in ((32, 2048), (2, 8)):
-        got = neardup.components(small, hot=hot, block_rows=block_rows).collect()
+    for sizes in ({}, {"hot": 2, "block_rows": 8, "block_words": 900}):
+        got = neardup.components(small, **sizes).collect()
         mine = {}
         for r in got:
             mine.setdefault(r["root"], []).append(r["doc_id"])
