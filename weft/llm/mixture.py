@@ -1,11 +1,17 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-A source's words, its documents in seeded order, are cut into equal blocks.
-Blocks are the seats: they go to sources by the highest quotients target /
-(2 seats + 1), shard by shard (the method never takes back a seat when the
-house grows, so a shard's quotas are the difference of two apportionments).
-Which blocks fill a source's quota is a seeded permutation of its blocks, so
-selection needs no further sort and any task can work it out.
+A source's words, its documents in seeded order, are cut into blocks of ``WIDTH``
+words (the last may be shorter). Blocks are the seats: they go to sources by the
+highest quotients target / (2 seats + 1), shard by shard (the method never takes
+back a seat when the house grows, so a shard's quotas are the difference of two
+apportionments). A source's seats are filled with consecutive blocks, round and
+round from a seeded one on. Since documents stand in seeded order that is a random
+choice of documents, and only the two at the ends of a round are cut: every text
+of the mix is a document or one contiguous span of it.
+
+Rows are never joined: a row's place in its source is found on the row itself,
+after one range shuffle, so repeated rows, null ids and clashing names are rows
+like others.
 
 Only one row a source reaches the driver; the number of sources is checked
 against ``max_sources``.
@@ -14,7 +20,6 @@ against ``max_sources``.
 from __future__ import annotations
 
 import heapq
-from math import gcd
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.llm.text import GAPS
-from weft.session import cut, shuffle_partitions
+from weft.session import cut, shuffle_partitions, stash
 
 SEED = 20_240_601
 SHARDS = 16
+WIDTH = 16
 
 
 def word_count(text: Column) -> Column:
@@ -82,150 +88,119 @@ def shard_quotas(claims: list[float], seats: int, shards: int) -> list[list[int]
     return [[b - a for a, b in zip(x, y)] for x, y in zip(grown, grown[1:])]
 
 
-def _permutation(blocks: int, seed: int, name: str) -> tuple[int, int]:
-    """``(a, c)`` so that ``b -> (a b + c) mod blocks`` permutes the blocks."""
-    draw = xxhash.xxh64_intdigest(name, seed)
-    a = draw % blocks or 1
-    a = min(a, 2**30)
-    while gcd(a, blocks) != 1:
-        a += 1
-    return a, (draw >> 20) % blocks
+_SOURCE = "source string, source_size long, target double, blocks long, first long, quota long, shard_ends array<long>"
 
 
-def plan(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int | None = None, max_sources: int = 1_000_000) -> DataFrame:
-    """Each row of ``docs`` with its words' place in its source and that source's plan.
+def _placed(rows: DataFrame, seed: int, shards: int, width: int, max_sources: int) -> DataFrame:
+    """``rows (row, source, size, draw, tie)``, range-dealt and written, with their place and their source's plan.
 
-    Adds ``size, source_size, target`` and the struct ``mix`` (block width,
-    permutation, quota, where the row starts). Sources are taken in code point
-    order, null last, and weigh 1, 2, 3, repeating.
+    Adds ``part, start, source_size, target`` and the columns of the plan.
     """
-    spark = docs.sparkSession
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        "source",
-        F.xxhash64("text").alias("text_key"),
-        word_count(F.col("text")).alias("size"),
-    ).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_key"))
-    dealt = cut(
-        sized.repartitionByRange(shuffle_partitions(spark), "source", "draw", "doc_id").withColumn("part", F.spark_partition_id())
-    )
-    per_part = cut(dealt.groupBy("part", "source").agg(F.sum("size").alias("size")))
+    spark = rows.sparkSession
+    per_part = cut(rows.groupBy("part", "source").agg(F.sum("size").alias("size")))
     sums = per_part.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    rows = sorted(((r["source"], r["size"]) for r in sums), key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [n for _, n in rows]
-    total = sum(sizes)
-    goal = targets(sizes, [1.0 + i % 3 for i in range(len(rows))])
-    width = block or max(1, min(1024, total // max(1, 20_000 * len(rows))))
-    blocks = [max(1, -(-n // width)) for n in sizes]
-    claims = [g * b / n if n else 0.0 for g, b, n in zip(goal, blocks, sizes)]
-    quotas = shard_quotas(claims, round(sum(claims)), shards)
+    found = sorted(((r["source"], r["size"]) for r in sums), key=lambda r: (r[0] is None, r[0] or ""))
+    sizes = [n for _, n in found]
+    goal = targets(sizes, [1.0 + i % 3 for i in range(len(found))])
+    claims = [g / width for g in goal]
+    grown = [apportion(claims, round(sum(claims)) * k // shards) for k in range(1, shards + 1)]
     entries = []
-    for i, (source, n) in enumerate(rows):
-        quota = min(sum(q[i] for q in quotas), 3 * blocks[i])
-        a, c = _permutation(blocks[i], seed, repr(source))
-        ends = [sum(q[i] for q in quotas[: k + 1]) for k in range(shards)]
-        entries.append((source, n, goal[i], blocks[i], max(1, n // blocks[i]), n % blocks[i] if n else 0, quota // blocks[i], quota % blocks[i], a, c, ends))
-    table = spark.createDataFrame(
-        entries,
-        "source string, source_size long, target double, blocks long, width long, wider long, passes long, more long, a long, c long, shard_ends array<long>",
-    )
+    for i, (source, n) in enumerate(found):
+        blocks = max(1, -(-n // width))
+        ends = [min(seats[i], 3 * blocks) for seats in grown]
+        first = xxhash.xxh64_intdigest(repr(source), seed) % blocks
+        entries.append((source, n, goal[i], blocks, first, ends[-1], ends))
+    table = spark.createDataFrame(entries, _SOURCE)
     # one row a source and partition: sums of a source's earlier partitions
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_part.select("part", "source", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("part", "source").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = (
-        dealt.withColumn("upto", F.sum("size").over(inside))
-        .alias("d")
-        .join(offsets.alias("o"), (F.col("d.part") == F.col("o.part")) & F.col("d.source").eqNullSafe(F.col("o.source")))
-        .select("d.doc_id", "d.source", "d.text_key", "d.size", (F.col("offset") + F.col("upto") - F.col("d.size")).alias("start"))
-    )
-    return placed.alias("p").join(table.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select(
-        "doc_id", "p.source", "text_key", "size", "source_size", "target",
-        F.struct("start", "blocks", "width", "wider", "passes", "more", "a", "c", "shard_ends").alias("mix"),
-    )
+    offsets = per_part.select(F.col("part").alias("op"), F.col("source").alias("os"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    inside = W.partitionBy("part", "source").orderBy("draw", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    at = rows.withColumn("upto", F.sum("size").over(inside)).join(
+        F.broadcast(offsets.join(table.withColumnRenamed("source", "ts"), F.col("os").eqNullSafe(F.col("ts")))),
+        (F.col("part") == F.col("op")) & F.col("source").eqNullSafe(F.col("os")),
+    )  # one entry a source and partition it has rows in: at most partitions plus sources
+    return at.withColumn("start", F.col("offset") + F.col("upto") - F.col("size")).drop("op", "os", "ts", "upto", "offset")
 
 
-def _block_at(word: Column, m: Column) -> Column:
-    wide = m["wider"] * (m["width"] + 1)
-    return F.when(word < wide, F.floor(word / (m["width"] + 1))).otherwise(m["wider"] + F.floor((word - wide) / m["width"]))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Range-dealt by source and draw. Rows alike in all are told apart by ``tie``, which only orders them."""
+    parts = shuffle_partitions(rows.sparkSession)
+    return rows.repartitionByRange(parts, "source", "draw", "tie").withColumn("part", F.spark_partition_id())
 
 
-def _block_start(b: Column, m: Column) -> Column:
-    return b * m["width"] + F.least(b, m["wider"])
+def _draw(seed: int) -> list[Column]:
+    """The seeded order of a source's rows."""
+    return [F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("draw"), F.xxhash64(F.monotonically_increasing_id()).alias("tie")]
 
 
-def _times(b: Column, m: Column) -> Column:
-    """How often the mix takes block ``b``."""
-    drawn = F.pmod(m["a"] * b + m["c"], m["blocks"])
-    return m["passes"] + F.when(drawn < m["more"], F.lit(1)).otherwise(F.lit(0))
+def _arcs(width: int) -> list[tuple[Column, Column]]:
+    """The words of the last, partial round: up to the source's end, and on from its start."""
+    more, last = F.col("quota") % F.col("blocks"), F.col("first") + F.col("quota") % F.col("blocks")
+    ahead = F.least(F.col("source_size"), last * width)
+    return [(F.when(more > 0, F.col("first") * width).otherwise(ahead), ahead), (F.lit(0).cast("long"), F.greatest(F.lit(0), last - F.col("blocks")) * width)]
 
 
-def taken_words(size: Column, m: Column) -> Column:
-    """Words of a row that the mix takes, repeats counted."""
-    first, end = m["start"], m["start"] + size
-    one, last = _block_at(first, m), _block_at(end - 1, m)
+def _spans(width: int) -> Column:
+    """Array of ``(low, high, shard)``: the stretches of a row's words that the mix takes, a round each."""
+    start, end, rounds = F.col("start"), F.col("start") + F.col("size"), F.floor(F.col("quota") / F.col("blocks"))
 
-    def add(acc: Column, b: Column) -> Column:
-        low, high = F.greatest(first, _block_start(b, m)), F.least(end, _block_start(b + 1, m))
-        return acc + (high - low) * _times(b, m)
+    def shard(word: Column, turn: Column) -> Column:
+        seat = turn * F.col("blocks") + F.pmod(F.floor(word / width) - F.col("first"), F.col("blocks"))
+        return F.size(F.filter("shard_ends", lambda e: e <= seat)).cast("int")
 
-    whole = F.aggregate(F.sequence(one, last), F.lit(0).cast("long"), add)
-    return F.when(size == 0, F.lit(0).cast("long")).when(one == last, size * _times(one, m)).otherwise(whole)
+    def span(low: Column, high: Column, turn: Column) -> Column:
+        return F.struct((low - start).alias("low"), (high - start).alias("high"), shard(low, turn).alias("shard"))
 
+    whole = F.transform(F.sequence(F.lit(1).cast("long"), rounds), lambda t: span(start, end, t - 1))
+    whole = F.when(rounds > 0, whole).otherwise(F.array().cast("array<struct<low:bigint,high:bigint,shard:int>>"))
+    parts = [span(F.greatest(start, lo), F.least(end, hi), rounds) for lo, hi in _arcs(width)]
+    return F.filter(F.concat(whole, F.array(*parts)), lambda x: x["high"] > x["low"])
 
-def mix(docs: DataFrame, seed: int = SEED, **options: object) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` for every row of ``docs``.
 
-    Null texts have size 0 and are never taken; a null source is a source of its
-    own, after all others; rows with a repeated ``doc_id`` are mixed each for
-    itself; an empty table gives no rows; other columns do not matter.
+def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, width: int = WIDTH, max_sources: int = 1_000_000) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken, shard)`` for every row of ``docs``.
+
+    ``shard`` is the least that takes some of the row (null: none does).
+    Sources are taken in code point order, null last, and weigh 1, 2, 3,
+    repeating. Null texts have size 0 and are never taken; a null source is a
+    source of its own; rows with a repeated ``doc_id``, or alike in all, are mixed
+    each for itself; an empty table gives no rows; other columns do not matter.
     """
-    placed = plan(docs, seed, **options)
-    return placed.select("doc_id", "size", "source_size", "target", taken_words(F.col("size"), F.col("mix")).alias("taken"))
+    sized = stash(
+        docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "source", word_count(F.col("text")).alias("size"), *_draw(seed)),
+        "mixture-sizes",
+    )
+    placed = _placed(stash(_dealt(sized), "mixture-dealt"), seed, shards, width, max_sources).withColumn("spans", _spans(width))
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    return placed.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_min(F.transform("spans", lambda s: s["shard"])).alias("shard"))
 
 
-def take(docs: DataFrame, seed: int = SEED, **options: object) -> DataFrame:
-    """The mix itself: a row of ``docs`` for every pass over some of its words.
+def take(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, width: int = WIDTH, max_sources: int = 1_000_000, shard_as: str | None = None) -> DataFrame:
+    """The mix itself: a row of ``docs`` for every stretch of its words that ``mix`` takes.
 
-    Columns are those of ``docs``. A pass that takes all of a row's blocks gives
-    its text unchanged; otherwise the text holds the words of the blocks taken,
-    in order, joined by one space, and ``n_chars`` (if there) is set anew. A row
-    none of whose blocks are taken gives no row.
+    Columns are those of ``docs``, whatever their names, and the shard under the
+    name ``shard_as`` if given. A row taken whole keeps its text unchanged; of the
+    rows at the ends of a round a contiguous span of words is taken, joined by
+    one space, and ``n_chars`` (if there) is set anew. Odd rows are treated as
+    ``mix`` does.
     """
-    m = F.col("mix")
-    placed = plan(docs, seed, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), "mix")
-    placed = placed.where("_size > 0").dropDuplicates(["_id", "_key"])
-    begin, end = m["start"], m["start"] + F.col("_size")
-    spans = F.transform(
-        F.sequence(_block_at(begin, m), _block_at(end - 1, m)),
-        lambda b: F.struct(
-            (F.greatest(begin, _block_start(b, m)) - begin).alias("low"),
-            (F.least(end, _block_start(b + 1, m)) - begin).alias("high"),
-            _times(b, m).alias("times"),
-        ),
-    )
-    chosen = cut(
-        placed.withColumn("spans", spans)
-        .withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("spans", lambda s: s["times"])))))
-        .where("turn > 0")
-        .withColumn("spans", F.filter("spans", lambda s: s["times"] >= F.col("turn")))
-        .withColumn("part", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]))
-        .where("part > 0")
-        .select("_id", "_key", F.when(F.col("part") < F.col("_size"), F.col("spans")).alias("_spans"))
-    )
-    words = F.filter(F.split("text", GAPS), lambda w: w != "")
-    cutout = F.array_join(
-        F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " "
-    )
-    rows = (
-        docs.withColumn("_text_key", F.xxhash64("text"))
-        .join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-        .withColumn("_words", F.when(F.col("_spans").isNotNull(), words))
-        .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cutout))
-    )
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return rows.select(*docs.columns)
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    # sizes are counted after the shuffle: the sampling of its ranges would count them once more
+    dealt = _dealt(docs.select(whole, "source", *_draw(seed))).withColumn("size", word_count(F.col("row").getField("text")))
+    placed = _placed(stash(dealt, "mixture-rows"), seed, shards, width, max_sources)
+    rows = placed.select("row", "size", F.explode(_spans(width)).alias("span"))
+    part = F.col("span.high") - F.col("span.low") < F.col("size")
+    words = F.filter(F.split(F.col("row").getField("text"), GAPS), lambda w: w != "")
+    piece = F.array_join(F.slice(words, (F.col("span.low") + 1).cast("int"), (F.col("span.high") - F.col("span.low")).cast("int")), " ")
+    rows = rows.withColumn("piece", F.when(part, piece))
+    out = []
+    for field in docs.schema.fields:
+        value = F.col("row").getField(field.name)
+        if field.name == "text":
+            value = F.coalesce("piece", value)
+        elif field.name == "n_chars":
+            value = F.when(part, F.length("piece").cast(field.dataType)).otherwise(value)
+        out.append(value.alias(field.name))
+    return rows.select(*out, *([F.col("span.shard").alias(shard_as)] if shard_as else []))
