@@ -163,8 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, max_chars: i
     """Fit on labelled documents outside the held-out fold.
 
     Rows without a label, with a null label or id are left out; a repeated id
-    counts as toxic if any of its labels is. No text goes to the driver but those
-    of the sample, at most ``2 * max_docs`` of ``max_chars`` characters.
+    counts as toxic if any of its labels is, and stands for its least text. No
+    text goes to the driver but those of the sample, at most ``2 * max_docs`` of
+    ``max_chars`` characters. Without labels the model finds nothing toxic.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -178,10 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, max_chars: i
     parts = [known.where(F.col("toxic") == y).orderBy("draw", "doc_id").limit(max_docs) for y in (0, 1)]
     sample = F.broadcast(parts[0].union(parts[1]))  # at most 2 * max_docs rows of three numbers
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .where(F.length("text") <= max_chars)
         .join(sample, "doc_id")
-        .where(F.octet_length("text") <= max_chars)
-        .select("doc_id", "draw", "toxic", "text")
+        .groupBy("doc_id", "draw", "toxic")
+        .agg(F.min("text").cast("binary").alias("text"))
         .toArrow()
         .sort_by([("draw", "ascending"), ("doc_id", "ascending")])
     )
@@ -228,13 +230,45 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_sentences long, worst_start long, worst_end long")
 
 
+def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``(doc_id, sentence, start, end, score)`` for every sentence that scores ``threshold`` or more.
+
+    ``start`` and ``end`` are code point offsets, ``sentence`` counts from 0. Null
+    and empty texts have no sentence; repeated rows repeat theirs; an empty table
+    gives no rows; other columns do not matter.
+    """
+    shared = _shared(docs.sparkSession, model)
+    kind = "doc_id long, sentence long, start long, end long, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*pickle.loads(shared.value))
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = x.as_py() or b""
+                starts, logits = sentence_logits(text, own)
+                found = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
+                hits = np.flatnonzero(found >= threshold)
+                if not len(hits):
+                    continue
+                points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+                ends = np.append(starts[1:], len(text))
+                for col, values in zip(cols, ([doc] * len(hits), hits, points[starts[hits]], points[ends[hits]], found[hits])):
+                    col.extend(values)
+            types = [pa.int64()] * 4 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in kind.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kind)
+
+
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose text scores below ``threshold``; no shuffle."""
     shared = _shared(docs.sparkSession, model)
 
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Model(*pickle.loads(shared.value))
-        return texts.map(lambda t: score(None if t is None else bytes(t), own)[0] < threshold).astype(bool)
+        for texts in batches:
+            yield texts.map(lambda t: score(None if t is None else bytes(t), own)[0] < threshold).astype(bool)
 
     return docs.where(clean(F.col("text").cast("binary")))
