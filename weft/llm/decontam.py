@@ -2,8 +2,11 @@
 
 Items and texts are compared as lower-cased letters and digits with one space
 for whatever lies between. Each item is cut into overlapping segments of
-``length`` characters (shorter items are one segment) and may differ from a
-text by ``budget = rate * length`` edits. Two strings within k edits share at
+``length`` characters, ``step`` apart (shorter items are one segment), and may
+differ from a text by ``budget = rate * length`` edits, so an excerpt of ``length
++ step`` characters is found wherever it was cut. Items of under ``MIN_CHARS``
+characters must occur as they are, between spaces or ends; items of fewer
+characters than a q-gram, as the whole of a text. Two strings within k edits share at
 least ``length - q + 1 - k q`` q-grams (the q-gram lemma), all of them on
 diagonals (place in the text minus place in the item) that span at most k, so
 
@@ -30,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 12
-LENGTH = 120
+LENGTH = 60
+STEP = 15
 RATE = 1 / 20
 MIN_CHARS = 32
+POSTINGS = 1_000_000
 BLOCK_CHARS = 4_000_000
 _BITS = 22
 _PRIME = 0x9E3779B97F4A7C15
@@ -59,6 +64,11 @@ def normal(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[keep], keep
 
 
+def _trim(codes: np.ndarray) -> np.ndarray:
+    codes = codes[1:] if len(codes) and codes[0] == 32 else codes
+    return codes[:-1] if len(codes) and codes[-1] == 32 else codes
+
+
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
@@ -91,25 +101,28 @@ class Index:
     posts_seg: np.ndarray
     posts_at: np.ndarray
     cells: np.ndarray
+    tiny: dict[bytes, list[int]]
+    min_chars: int
 
 
-def build(items: list[tuple[int, str | None]], q: int = Q, length: int = LENGTH, rate: float = RATE, min_chars: int = MIN_CHARS) -> Index:
-    """The index of ``(item_id, text)``; items under ``min_chars`` compared characters match nothing."""
+def build(items: list[tuple[int, str | None]], q: int = Q, length: int = LENGTH, step: int = STEP, rate: float = RATE, min_chars: int = MIN_CHARS) -> Index:
+    """The index of ``(item_id, text)``; items under ``min_chars`` compared characters must match exactly."""
     table = letter_table()
-    texts = [(i, np.trim_zeros(np.where(c == 32, 0, c)), c) for i, t in items for c in [normal(t or "", table)[0]]]
-    clean = []
-    for i, _, c in texts:
-        c = c[1:] if len(c) and c[0] == 32 else c
-        c = c[:-1] if len(c) and c[-1] == 32 else c
-        if len(c) >= min_chars:
+    clean, tiny = [], {}
+    for i, text in items:
+        c = _trim(normal(text or "", table)[0])
+        if len(c) >= q:
             clean.append((i, c))
+        elif len(c):
+            tiny.setdefault(c.tobytes(), []).append(i)
     segs = []
     for n, (_, c) in enumerate(clean):
-        step, span = max(1, length // 2), min(length, len(c))
+        span = min(length, len(c))
         for start in sorted({*range(0, len(c) - span + 1, step), len(c) - span}):
             segs.append((n, start, span))
     seg = np.array(segs, dtype=np.int64).reshape(-1, 3)
     edits = np.minimum((seg[:, 2] * rate).astype(np.int64), np.maximum(0, (seg[:, 2] - q) // q))
+    edits[seg[:, 2] < min_chars] = 0
     bound = seg[:, 2] - q + 1 - edits * q
     hashes, owner, place = [], [], []
     for s, (n, start, span) in enumerate(segs):
@@ -125,7 +138,7 @@ def build(items: list[tuple[int, str | None]], q: int = Q, length: int = LENGTH,
     none = np.empty(0, np.int64)
     return Index(
         q, table, clean, seg[:, 0], seg[:, 1], seg[:, 2], edits, bound, keys, np.append(first, len(h)),
-        np.concatenate(owner)[order] if owner else none, np.concatenate(place)[order] if place else none, cells,
+        np.concatenate(owner)[order] if owner else none, np.concatenate(place)[order] if place else none, cells, tiny, min_chars,
     )
 
 
@@ -153,9 +166,14 @@ def matches(text: str | None, index: Index) -> list[tuple[int, int, int, int, in
     Edits are the least of the matched segments; start and end are code point
     offsets around all of them.
     """
-    if not text or not len(index.keys):
+    if not text:
         return []
     codes, places = normal(text, index.table)
+    out = [(i, 1, 1, 0, 0, len(text)) for i in index.tiny.get(_trim(codes).tobytes(), ())] if index.tiny and len(codes) < index.q + 2 else []
+    return sorted(out + _segments(codes, places, index)) if len(index.keys) else sorted(out)
+
+
+def _segments(codes: np.ndarray, places: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int, int]]:
     hashes = grams(codes, index.q)
     least = int(index.seg_bound.min())
     if len(hashes) < least:
@@ -178,26 +196,28 @@ def matches(text: str | None, index: Index) -> list[tuple[int, int, int, int, in
     ok = (total[ahead] - total[at] >= least) | (total[at + 1] - total[behind] >= least) | (total[ahead] - total[behind] >= least)
     at, slot = at[ok], slot[ok]
     found: dict[int, list] = {}
-    step = 200_000
-    seen: dict[tuple[int, int], int] = {}
-    for k in range(0, len(at), step):  # bounded postings at a time; counts add up over the parts
-        a, s = at[k : k + step], slot[k : k + step]
-        n = index.first[s + 1] - index.first[s]
-        post = np.repeat(index.first[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    many = index.first[slot + 1] - index.first[slot]
+    part = (np.cumsum(many) - many) // POSTINGS  # a bounded number of postings at a time; counts add up
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(at)])) if len(at) else []
+    keys, counts = [], []
+    for x, y in zip(edges, edges[1:]):
+        a, n, first = at[x:y], many[x:y], index.first[slot[x:y]]
+        post = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         seg = index.posts_seg[post]
-        band = index.seg_edits[seg] + 1
-        diag = np.repeat(a, n) - index.posts_at[post]
-        low = diag // band
-        for cell in (low, low - 1):  # bands two budgets wide, overlapping by half
-            pair, many = np.unique(np.stack((seg, cell)), axis=1, return_counts=True)
-            for g, c, m in zip(pair[0].tolist(), pair[1].tolist(), many.tolist()):
-                seen[g, c] = seen.get((g, c), 0) + m
-    for (g, c), m in sorted(seen.items()):
-        if m < index.seg_bound[g]:
+        low = (np.repeat(a, n) - index.posts_at[post]) // (index.seg_edits[seg] + 1)
+        # bands two budgets wide, overlapping by half; segment and band in one number
+        key, count = np.unique(np.concatenate([(seg << 36) + (low + (1 << 34)), (seg << 36) + (low - 1 + (1 << 34))]), return_counts=True)
+        keys.append(key)
+        counts.append(count)
+    key, where = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+    total = np.bincount(where, np.concatenate(counts), len(key)) if len(key) else np.empty(0)
+    ok = total >= index.seg_bound[key >> 36]
+    seen = [((int(k) >> 36, (int(k) & ((1 << 36) - 1)) - (1 << 34)), int(m)) for k, m in zip(key[ok], total[ok])]
+    matched: set[int] = set()
+    for (g, c), _ in seen:
+        if g in matched:
             continue
         item, start, size, edits = (int(x[g]) for x in (index.seg_item, index.seg_start, index.seg_len, index.seg_edits))
-        if any(hit_seg == g for hit_seg, *_ in found.get(item, ())):
-            continue
         segment = index.items[item][1][start : start + size]
         low = start + c * (edits + 1)  # where the segment starts in the text, at the band's edges
         high = low + 2 * (edits + 1) - 1
@@ -210,12 +230,21 @@ def matches(text: str | None, index: Index) -> list[tuple[int, int, int, int, in
             need, end = banded(segment, region, low - edits - base, high + edits - base)
         if need <= edits:
             end = min(max(end, 1), len(region))
+            first = base + max(0, end - size)
+            if size < index.min_chars and not _alone(codes, first, base + end):
+                continue
+            matched.add(g)
             found.setdefault(item, []).append((g, need, base + max(0, end - size), base + end))
     out = []
     for item, hits in found.items():
         begin, end = min(h[2] for h in hits), max(h[3] for h in hits)
         out.append((index.items[item][0], int((index.seg_item == item).sum()), len(hits), min(h[1] for h in hits), int(places[begin]), int(places[end - 1]) + 1))
-    return sorted(out)
+    return out
+
+
+def _alone(codes: np.ndarray, first: int, end: int) -> bool:
+    """True if spaces or the text's ends are on both sides."""
+    return (first == 0 or codes[first - 1] == 32) and (end == len(codes) or codes[end] == 32)
 
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **rules: object) -> Iterator[Index]:
@@ -235,9 +264,9 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, **rules: object
 def find(docs: DataFrame, benchmark: DataFrame, **rules: object) -> DataFrame:
     """``(doc_id, item_id, n_segments, n_matched, edits, start, end)``: one row a document and item found in it.
 
-    Null and empty texts and items match nothing, nor do items of fewer than
-    ``MIN_CHARS`` compared characters; repeated items or documents repeat rows;
-    an empty table on either side gives no rows; other columns do not matter.
+    Null and empty texts and items match nothing, nor do items without a letter
+    or digit or with a null id; repeated items or documents repeat rows; an empty
+    table on either side gives no rows; other columns do not matter.
     """
     kind = "doc_id long, item_id long, n_segments long, n_matched long, edits long, start long, end long"
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -260,9 +289,10 @@ def find(docs: DataFrame, benchmark: DataFrame, **rules: object) -> DataFrame:
 
 def _is_clean(shared: object) -> object:
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Index(**pickle.loads(shared.value))
-        return texts.map(lambda t: not matches(t, own)).astype(bool)
+        for texts in batches:
+            yield texts.map(lambda t: not matches(t, own)).astype(bool)
 
     return clean
 
