@@ -14,6 +14,10 @@ CHECKED = [
     "validate_errors", "dlq_split", "validate_source_url", "sse_decode", "dedup_first", "dedup_sliding_ttl", "dedup_clusters",
     "confidence_histogram", "alerts_above_threshold", "highlight_active", "vector_tier", "alias_match", "cooccurrence_tier",
     "resolution_decision", "node_upsert", "edge_upsert", "khop_2", "connected_components", "briefing_script", "latest_object",
+    "vector_topk_tenants", "name_jaccard", "all_entities", "entity_nodes", "entity_texts", "entity_violations", "stix_bundle",
+    "envelope_full", "envelope_keys", "text_truthy", "alert_records", "gauges", "raw_event_records", "plugin_blocks", "tool_registry",
+    "stream_dedup", "tenant_components", "tenant_khop", "tenant_edges", "communities_fallback", "resolved_nodes", "vector_upsert",
+    "summary_search", "briefing_items", "geo_distance", "usable_blocks",
 ]
 
 

@@ -14,7 +14,10 @@ from weft.plans import catalogue
 from weft.sources.fixture import graph_fixture
 from weft.sources.tables import settings_list
 from weft.streaming.dedup import stream_dedup
-from weft.streaming.process import split_stream
+from weft.sources import plugins
+from weft.sources.tables import list_objects
+from weft.streaming import topics
+from weft.streaming.process import current_version, persist_stream, publish_snapshot, read_snapshot, split_stream
 
 
 def _one(spark, column, **values):
@@ -52,6 +55,11 @@ def test_payload_errors(spark, payload, fields):
     assert out["valid"] == (not fields)
 
 
+def test_payload_errors_come_in_the_payload_s_order(spark):
+    rows = spark.createDataFrame([('{"z": "", "a": null}',)], "raw string").select(F.from_json("raw", "map<string,string>").alias("payload"))
+    assert [e["field"] for e in ingest.validate(rows).first()["errors"]] == ["payload.z", "payload.a", "payload"]
+
+
 @pytest.mark.parametrize(("url", "ok"), [("http://shodan.io", True), ("https://a/b", True), ("shodan", False), ("   ", False), ("ftp://a", False), ("http:///p", False), (None, False)])
 def test_http_url(spark, url, ok):
     got = spark.createDataFrame([(url,)], "u string").select(exprs.http_url(F.col("u")).alias("x")).first()["x"]
@@ -153,3 +161,144 @@ def test_incremental_components_without_hops_follow_a_long_chain(spark, monkeypa
     monkeypatch.setattr(catalogue, "_links", lambda *_: links)
     got = {tuple(r) for r in catalogue.queries()["incremental_components"](spark, "").collect()}
     assert got == {(i, 1) for i in range(1, 13)}
+
+
+def test_stream_dedup_over_two_batches_and_a_slow_replay(spark, tmp_path):
+    start = pd.Timestamp("2024-01-01")
+    parts = [[("k", 0, 0), ("k", 1, 8)], [("k", 2, 16), ("k", 3, 27), ("j", 4, 500)], [("k", 5, 700)]]
+    schema = "key string, n long, ts timestamp_ntz"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for part in parts:
+        rows = [(k, n, (start + pd.Timedelta(minutes=m)).to_pydatetime()) for k, n, m in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = stream_dedup(stream, ["key"], "ts", "n", 600)
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+    got = {r["n"]: r["is_new"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: True, 1: False, 2: False, 3: True, 4: True, 5: True}
+
+
+def test_a_failed_snapshot_leaves_the_one_before(spark, tmp_path):
+    root = str(tmp_path)
+    assert current_version(spark, root) is None
+    one, bad = spark.range(3), spark.range(3).select(F.raise_error(F.lit("broken")).alias("id"))
+    publish_snapshot(spark, root, "000000000001", {"nodes": one, "edges": one})
+    with pytest.raises(Exception, match="broken"):
+        publish_snapshot(spark, root, "000000000002", {"nodes": spark.range(9), "edges": bad})
+    assert current_version(spark, root) == "000000000001"
+    assert read_snapshot(spark, root, "nodes").count() == 3
+    publish_snapshot(spark, root, "000000000002", {"nodes": spark.range(9), "edges": one})
+    assert read_snapshot(spark, root, "nodes").count() == 9
+
+
+def test_persist_stream(spark, tmp_path):
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    tables = lambda batch: {"nodes": batch, "edges": batch.where("id > 1")}
+    persist_stream(stream, str(tmp_path / "root"), str(tmp_path / "cp"), tables).awaitTermination(60)
+    assert (read_snapshot(spark, str(tmp_path / "root"), "nodes").count(), read_snapshot(spark, str(tmp_path / "root"), "edges").count()) == (4, 2)
+
+
+def test_failing_extraction_sets_a_batch_aside(spark, tmp_path):
+    rows = spark.createDataFrame([(1, {"text": "a"}), (2, {"ip": "b"})], "id long, payload map<string,string>")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+
+    def broken(batch):
+        raise ValueError("no extractor")
+
+    split_stream(stream, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp"), extract=broken).awaitTermination()
+    got = {r["id"]: r["error_type"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert got == {1: "ValueError", 2: "SchemaViolation"}
+
+
+class Flaky(plugins.Plugin):
+    name, tries = "flaky", 0
+
+    def tools(self):
+        return ["t"]
+
+    def call(self, tool, options):
+        self.tries += 1
+        if self.tries < 3:
+            raise OSError("not yet")
+        return iter([("text", "x")])
+
+
+def test_plugin_calls_are_repeated():
+    flaky = Flaky()
+    assert plugins.call_with_retry(flaky, "t", {}, scale=0.0) == [("text", "x")]
+    assert flaky.tries == 3
+    with pytest.raises(OSError, match="not yet"):
+        plugins.call_with_retry(Flaky(), "t", {}, scale=0.0, attempts=2)
+
+
+def test_topics_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("e1", "src", "hi")], "id string, source string, text string")
+    record = topics.raw_event_records(rows).first()
+    assert (record["key"], record["headers"][0]["key"], bytes(record["headers"][0]["value"])) == ("e1", "source", b"src")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(record["value"] + "\nnot json\n")
+    feed = topics.feed(spark, {"path": str(tmp_path / "in")}, "id string, text string")
+    query = feed.writeStream.format("memory").queryName("fed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted((r["id"] or "", r["text"] or "") for r in spark.table("fed").collect()) == [("", ""), ("e1", "hi")]
+
+
+def test_objects_are_listed_in_order(spark, tmp_path):
+    for name in ("b.mp3", "a.mp3", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r["path"].rsplit("/", 1)[1] for r in list_objects(spark, str(tmp_path), "*.mp3").collect()] == ["a.mp3", "b.mp3"]
+
+
+def test_khop_joins_once_a_hop(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)], "src long, dst long")
+    out = graph.khop(links, spark.createDataFrame([(1,)], "id long"), hops=6)
+    assert sorted(r["id"] for r in out.collect()) == list(range(1, 8))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 3
+
+
+def test_tenants_never_mix(spark):
+    edges = spark.createDataFrame([("a", 1, 2), ("b", 2, 3)], "tenant_id string, src long, dst long")
+    got = graph.components(edges, by=("tenant_id",)).collect()
+    assert {(r["tenant_id"], r["id"], r["component"]) for r in got} == {("a", 1, 1), ("a", 2, 1), ("b", 2, 2), ("b", 3, 2)}
+    near = graph.khop(edges, spark.createDataFrame([("a", 1)], "tenant_id string, id long"), by=("tenant_id",)).collect()
+    assert {r["id"] for r in near} == {1, 2}
+    nodes = spark.createDataFrame([("a", 1), ("a", 9)], "tenant_id string, id long")
+    alone = graph.detect(edges.limit(0), nodes, "louvain", ("tenant_id",)).collect()
+    assert {(r["id"], r["component"], r["algorithm"]) for r in alone} == {(1, 1, "components"), (9, 9, "components")}
+
+
+def test_label_propagation_finds_two_cliques(spark):
+    pairs = [(i, j) for base in (0, 10) for i in range(base, base + 5) for j in range(i + 1, base + 5)] + [(4, 10)]
+    got = {r["id"]: r["component"] for r in graph.detect(spark.createDataFrame(pairs, "src long, dst long"), spark.range(20), "label_propagation").collect()}
+    assert {got[i] for i in range(5)} == {0}
+    assert {got[i] for i in range(10, 15)} == {10}
+
+
+def test_string_ids_and_merges(spark):
+    found = spark.createDataFrame([("t", "x", "part--2", 0.97), ("t", "x", "part--1", 0.97)], "tenant_id string, id string, candidate_id string, score double")
+    decided = resolve.decide(spark.createDataFrame([("t", "x"), ("t", "y")], "tenant_id string, id string"), found, by=("tenant_id",))
+    got = {r["id"]: (r["decision"], r["matched_entity_id"]) for r in decided.collect()}
+    assert got == {"x": ("auto_merge", "part--1"), "y": ("new_entity", None)}
+    kind = "tenant_id string, id string, seq int, name string"
+    old, new = spark.createDataFrame([("t", "part--1", 1, "old"), ("u", "x", 1, "other")], kind), spark.createDataFrame([("t", "x", 2, "new"), ("t", "y", 2, "why")], kind)
+    out = {(r["tenant_id"], r["id"]): (r["name"], r["merged"]) for r in resolve.resolved_nodes(old, new, decided).collect()}
+    assert out == {("t", "part--1"): ("new", 1), ("u", "x"): ("other", 0), ("t", "y"): ("why", 0)}
+
+
+def test_soundex_and_empty_briefing(spark):
+    assert _one(spark, F.soundex(F.col("k")), k="Robert") == "R163"
+    told = spark.createDataFrame([("a", None, "one")], "tenant_id string, community_id long, community_summary string")
+    tenants = spark.createDataFrame([("a",), ("b",)], "tenant_id string")
+    got = {r["tenant_id"]: r["script"] for r in deliver.briefing_script(told, tenants=tenants).collect()}
+    assert got["b"] == deliver.NOTHING
+    assert "Section 1 — Community 1:" in got["a"]
+
+
+def test_observed_counts(spark):
+    rows, told = deliver.observed(spark.range(7))
+    rows.collect()
+    assert told.get["rows"] == 7

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Keys that count as content of a payload.
 CONTENT_KEYS = ("text", "content", "data", "url")
+#: Messages of broken rules.
+BLANK = "must not be None or empty string"
+EMPTY = "payload must not be empty"
+LACKING = "must contain at least one of: text, content, data, url"
+BAD_SOURCE = "source must be a valid HTTP URL"
 #: Display colours by entity type, and the default.
 COLOURS = {
     "threat-actor": "#ef4444",
@@ -56,6 +59,19 @@ def pick_text(*choices: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices], F.lit(""))
 
 
+def truthy_text(raw: Column, *keys: str) -> Column:
+    """The first key of a JSON object whose value is not null, empty, zero or false, as text; else the empty string."""
+    tree = F.try_parse_json(raw)
+    found = []
+    for key in keys:
+        value = F.try_variant_get(tree, f"$.{key}", "string")
+        kind = F.schema_of_variant(F.try_variant_get(tree, f"$.{key}", "variant"))
+        number = F.try_variant_get(tree, f"$.{key}", "double")
+        falsy = value.isNull() | value.isin("", "[]", "{}") | ((kind != "STRING") & (kind != "BOOLEAN") & (F.coalesce(number, F.lit(1.0)) == 0)) | ((kind == "BOOLEAN") & (value == "false"))
+        found.append(F.when(~falsy, F.when(kind == "BOOLEAN", "True").otherwise(value)))
+    return F.coalesce(*found, F.lit(""))
+
+
 def http_url(source: Column) -> Column:
     """True for http and https URLs with a host."""
     return (
@@ -68,26 +84,31 @@ def url_path_key(url: Column) -> Column:
     return F.ltrim(F.try_parse_url(url, F.lit("PATH")), F.lit("/"))
 
 
+def _blank_keys(payload: Column) -> Column:
+    """Keys with a null or empty value, in the payload's order."""
+    return F.transform(F.filter(F.map_entries(payload), lambda e: e["value"].isNull() | (e["value"] == "")), lambda e: e["key"])
+
+
 def payload_errors(payload: Column) -> Column:
     """All errors of a ``map<string,string>`` payload, as ``array<struct<field, message>>``."""
     err = lambda f, m: F.struct(f.alias("field"), m.alias("message"))
-    blank = F.map_keys(F.map_filter(payload, lambda k, v: v.isNull() | (v == "")))
-    by_key = F.transform(F.array_sort(blank), lambda k: err(F.concat(F.lit("payload."), k), F.lit("value must not be None or empty string")))
+    blank = _blank_keys(payload)
+    by_key = F.transform(blank, lambda k: err(F.concat(F.lit("payload."), k), F.lit(f"value {BLANK}")))
     lacking = F.when(
         ~F.arrays_overlap(F.map_keys(payload), F.array(*[F.lit(k) for k in CONTENT_KEYS])),
-        F.array(err(F.lit("payload"), F.lit("must contain at least one of: text, content, data, url"))),
+        F.array(err(F.lit("payload"), F.lit(LACKING))),
     ).otherwise(F.array().cast("array<struct<field:string,message:string>>"))
-    empty = F.array(err(F.lit("payload"), F.lit("payload must not be empty")))
+    empty = F.array(err(F.lit("payload"), F.lit(EMPTY)))
     return F.when(F.coalesce(F.size(payload), F.lit(0)) <= 0, empty).otherwise(F.concat(by_key, lacking))
 
 
 def first_violation(payload: Column) -> Column:
     """The first broken rule of an envelope's payload, in its order; null if none."""
-    blank = F.map_filter(payload, lambda k, v: v.isNull() | (v == ""))
+    blank = _blank_keys(payload)
     return (
-        F.when(F.coalesce(F.size(payload), F.lit(0)) <= 0, "payload must not be empty")
-        .when(~F.arrays_overlap(F.map_keys(payload), F.array(*[F.lit(k) for k in CONTENT_KEYS])), "payload must contain at least one of: text, content, data, url")
-        .when(F.size(blank) > 0, F.concat(F.lit("payload."), F.array_min(F.map_keys(blank)), F.lit(" must not be None or empty string")))
+        F.when(F.coalesce(F.size(payload), F.lit(0)) <= 0, EMPTY)
+        .when(~F.arrays_overlap(F.map_keys(payload), F.array(*[F.lit(k) for k in CONTENT_KEYS])), f"payload {LACKING}")
+        .when(F.size(blank) > 0, F.concat(F.lit("payload."), F.get(blank, F.lit(0)), F.lit(f" {BLANK}")))
     )
 
 
@@ -120,8 +141,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    # binding the norm through a one-element array keeps it from being evaluated for each element
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -134,8 +155,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * 6371.0088) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def url_encoded(text: Column) -> Column:
+    return F.url_encode(text)
 
 
 def backoff_seconds(attempt: int, base: float = 0.5, cap: float = 60.0) -> float:

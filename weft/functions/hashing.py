@@ -36,9 +36,10 @@ def hash_embedding(text: Column, dim: int = 768) -> Column:
     seed = F.unhex(F.sha2(text.cast("binary"), 256))
     blocks = F.sequence(F.lit(0), F.lit((dim + 31) // 32 - 1))
     digits = F.transform(blocks, lambda i: F.sha2(F.concat(seed, F.unhex(F.lpad(F.hex(i), 8, "0"))), 256))
-    joined = F.array_join(digits, "")
-    one = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: ((F.conv(F.substr(joined, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5).cast("float"),
-    )
-    return one
+    places = F.sequence(F.lit(1), F.lit(2 * dim - 1), F.lit(2))
+
+    def vector(joined: Column) -> Column:
+        return F.transform(places, lambda i: ((F.conv(F.substr(joined, i, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5).cast("float"))
+
+    # binding through a one-element array keeps the digests from being made anew for each element
+    return F.get(F.transform(F.array(F.array_join(digits, "")), vector), F.lit(0))

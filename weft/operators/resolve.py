@@ -2,24 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.functions import exprs
 
 
-def vector_topk(queries: DataFrame, index: DataFrame, k: int = 5, key: str = "id", vector: str = "embedding", tenant: str = "tenant_id") -> DataFrame:
-    """``(id, candidate_id, score)``: the ``k`` most alike of the tenant, then without the row itself.
-
-    An equi-join on the tenant with a bounded top-k on either side of the
-    shuffle; for large tenants pass a blocking column as ``tenant``.
+def _pack(vector: Column) -> Column:
+    return F.transform(vector, lambda x: x.cast("float"))
+
+
+def _block_topk(k: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The best ``k`` candidates of each query row of a block pair, by one matrix product."""
+    q, c = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    empty = pd.DataFrame({"t": [], "id": [], "candidate_id": [], "score": []})
+    if q.empty or c.empty:
+        return empty
+    c = c.sort_values("id")
+    names = c["id"].to_numpy()
+    found = []
+    left, right = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (q, c))
+    left, right = (x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1.0) for x in (left, right))
+    for at in range(0, len(q), 512):
+        scores = np.round(left[at : at + 512] @ right.T, 6)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        ids = np.repeat(q["id"].to_numpy()[at : at + 512], order.shape[1])
+        found.append(pd.DataFrame({"id": ids, "candidate_id": names[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()}))
+    out = pd.concat(found)
+    out.insert(0, "t", q["t"].iloc[0])
+    return out
+
+
+def vector_topk(queries: DataFrame, index: DataFrame, k: int = 5, key: str = "id", vector: str = "embedding", tenant: str = "tenant_id", block: int = 4096) -> DataFrame:
+    """``(tenant, id, candidate_id, score)``: the ``k`` most alike of the tenant, then without the row itself.
+
+    Exact. A tenant's queries and its index are dealt into blocks of about
+    ``block`` rows by hash; each pair of blocks is one task's matrix product, which
+    gives out ``k`` rows a query, so no tenant meets itself in one task.
     """
-    a = queries.select(F.col(tenant).alias("t"), F.col(key).alias("id"), exprs.unit(F.col(vector)).alias("u"))
-    b = index.select(F.col(tenant).alias("t"), F.col(key).alias("candidate_id"), exprs.unit(F.col(vector)).alias("v"))
-    scored = a.join(b, "t").select("id", "candidate_id", F.round(exprs.dot(F.col("u"), F.col("v")), 6).alias("score"))
-    best = W.partitionBy("id").orderBy(F.col("score").desc(), "candidate_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k} and id <> candidate_id").drop("rank")
+    def dealt(rows: DataFrame, side: int) -> DataFrame:
+        slim = rows.select(F.col(tenant).alias("t"), F.col(key).alias("id"), _pack(F.col(vector)).alias("v"))
+        parts = slim.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        own = slim.join(parts, "t").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        return own.select("t", "id", "v", F.lit(side).alias("side"), "mine", "parts")
+
+    a, b = dealt(queries, 0), dealt(index, 1)
+    sizes_a, sizes_b = (x.groupBy("t").agg(F.max("parts").alias("others")) for x in (a, b))
+    a = a.join(sizes_b, "t").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    b = b.join(sizes_a, "t").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    cells = a.select("t", "id", "v", "side", F.col("mine").alias("i"), F.col("theirs").alias("j")).union(
+        b.select("t", "id", "v", "side", F.col("theirs").alias("i"), F.col("mine").alias("j"))
+    )
+    kind = queries.schema[key].dataType.simpleString()
+    near = cells.groupBy("t", "i", "j").applyInPandas(
+        lambda pdf: _block_topk(k, pdf[["t", "id", "v", "side"]]), f"t {queries.schema[tenant].dataType.simpleString()}, id {kind}, candidate_id {kind}, score double"
+    )
+    best = W.partitionBy("t", "id").orderBy(F.col("score").desc(), "candidate_id")
+    top = near.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k} and id <> candidate_id")
+    return top.select(F.col("t").alias(tenant), "id", "candidate_id", "score")
 
 
 def name_match(incoming: DataFrame, existing: DataFrame, by: list[str], key: str = "id", name: str = "name") -> DataFrame:
@@ -36,31 +79,71 @@ def alias_match(incoming: DataFrame, existing: DataFrame, by: list[str], key: st
     return a.join(b, [*by, "_n"]).where("id <> candidate_id").select("id", "candidate_id", F.lit(1.0).alias("score")).distinct()
 
 
-def cooccurrence(edges: DataFrame, src: str = "src", dst: str = "dst", least: int = 2) -> DataFrame:
-    """``(id, candidate_id, shared, score)`` of nodes with at least ``least`` common targets."""
-    e = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
-    pairs = e.alias("a").join(e.alias("b"), F.col("a.d") == F.col("b.d")).where("a.s < b.s")
-    half = pairs.groupBy(F.col("a.s").alias("x"), F.col("b.s").alias("y")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+def cooccurrence(edges: DataFrame, src: str = "src", dst: str = "dst", least: int = 2, by: tuple[str, ...] = (), block: int = 256) -> DataFrame:
+    """``(by, id, candidate_id, shared, score)`` of nodes with at least ``least`` common targets under equal ``by``.
+
+    Nodes with fewer than ``least`` targets can have no partner and go first.
+    The sources of a popular target are dealt into blocks; every two of its blocks
+    meet in rows of their own, so a hot target spreads over many tasks.
+    """
+    e = edges.select(*by, F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
+    busy = e.groupBy(*by, "s").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
+    e = e.join(busy, [*by, "s"], "left_semi")
+    parts = e.groupBy(*by, "d").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
+    own = e.join(parts, [*by, "d"]).withColumn("mine", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    a = own.select(*by, "d", F.col("s").alias("x"), F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    b = own.select(*by, "d", F.col("s").alias("y"), F.col("mine").alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    half = a.join(b, [*by, "d", "i", "j"]).where("x < y").groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     both = F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("candidate_id")), F.struct(F.col("y").alias("id"), F.col("x").alias("candidate_id")))
     score = F.least(F.col("shared").cast("double") / F.lit(10.0), F.lit(1.0))
-    return half.select(F.explode(both).alias("p"), "shared").select("p.id", "p.candidate_id", "shared", score.alias("score"))
+    return half.select(*by, F.explode(both).alias("p"), "shared").select(*by, "p.id", "p.candidate_id", "shared", score.alias("score"))
+
 
+def word_overlap(rows: DataFrame, by: list[str], key: str = "id", words: str = "words") -> DataFrame:
+    """``(id, candidate_id, score)``: Jaccard likeness of the word sets of pairs that share a word under equal ``by``."""
+    w = rows.select(*by, F.col(key).alias("s"), F.explode(F.array_distinct(words)).alias("d"))
+    sizes = rows.select(*by, F.col(key).alias("id"), F.size(F.array_distinct(words)).alias("n"))
+    both = cooccurrence(w, "s", "d", least=1, by=tuple(by)).where("id < candidate_id")
+    other = sizes.select(*by, F.col("id").alias("candidate_id"), F.col("n").alias("m"))
+    found = both.join(sizes, [*by, "id"]).join(other, [*by, "candidate_id"])
+    return found.select("id", "candidate_id", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("score"))
 
-def decide(entities: DataFrame, candidates: DataFrame, merge: float = 0.95, review: float = 0.50) -> DataFrame:
-    """One decision for each entity: highest score, then least candidate id."""
-    best = candidates.groupBy("id", "candidate_id").agg(F.max("score").alias("score"))
-    top = best.groupBy("id").agg(F.max_by("candidate_id", F.struct(F.col("score"), -F.col("candidate_id"))).alias("c"), F.max("score").alias("s"))
-    score = F.coalesce("s", F.lit(0.0))
+
+def decide(entities: DataFrame, candidates: DataFrame, merge: float = 0.95, review: float = 0.50, by: tuple[str, ...] = ()) -> DataFrame:
+    """One decision for each entity: highest score, then least candidate id. Ids are of any ordered type."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("candidate_id").alias("c"))).alias("b")
+    top = candidates.groupBy(*by, "id").agg(best)
+    score = F.coalesce(-F.col("b.s"), F.lit(0.0))
     decision = exprs.tier(score, merge, review)
-    return entities.join(top, "id", "left").select(
-        "id", decision.alias("decision"), F.when(decision != "new_entity", F.col("c")).alias("matched_entity_id"), score.alias("confidence_score")
+    return entities.join(top, [*by, "id"], "left").select(
+        *by, "id", decision.alias("decision"), F.when(decision != "new_entity", F.col("b.c")).alias("matched_entity_id"), score.alias("confidence_score")
     )
 
 
-def same_as_edges(decisions: DataFrame) -> DataFrame:
-    return decisions.where("decision = 'ambiguous'").select(F.col("id").alias("src"), F.col("matched_entity_id").alias("dst"), F.lit("SAME_AS").alias("edge_type"), F.col("confidence_score").alias("confidence"))
+def same_as_edges(decisions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return decisions.where("decision = 'ambiguous'").select(*by, F.col("id").alias("src"), F.col("matched_entity_id").alias("dst"), F.lit("SAME_AS").alias("edge_type"), F.col("confidence_score").alias("confidence"))
 
 
-def canonical_ids(decisions: DataFrame) -> DataFrame:
+def canonical_ids(decisions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``(id, canonical_id)``: a merged entity takes the id it matched."""
-    return decisions.select("id", F.when(F.col("decision") == "auto_merge", F.col("matched_entity_id")).otherwise(F.col("id")).alias("canonical_id"))
+    return decisions.select(*by, "id", F.when(F.col("decision") == "auto_merge", F.col("matched_entity_id")).otherwise(F.col("id")).alias("canonical_id"))
+
+
+def resolved_nodes(existing: DataFrame, incoming: DataFrame, decisions: DataFrame, by: tuple[str, ...] = ("tenant_id",), order: str = "seq") -> DataFrame:
+    """Nodes after resolution: merged rows overwrite their match, ambiguous and new ones are added.
+
+    Both tables have ``by, id, order`` and the same properties; the last row by
+    ``order`` wins whole. ``merged`` says how many incoming rows a node took in.
+    """
+    props = [c for c in existing.columns if c not in (*by, "id")]
+    moved = incoming.join(canonical_ids(decisions, by), [*by, "id"], "left")
+    moved = moved.select(*by, F.coalesce("canonical_id", "id").alias("id"), *props, (F.coalesce("canonical_id", "id") != F.col("id")).cast("long").alias("_in"))
+    rows = existing.select(*by, "id", *props, F.lit(0).cast("long").alias("_in")).union(moved)
+    last = F.max(F.struct(order, *[c for c in props if c != order])).alias("r")
+    return rows.groupBy(*by, "id").agg(last, F.sum("_in").alias("merged")).select(*by, "id", *[F.col(f"r.{c}").alias(c) for c in props], "merged")
+
+
+def vector_upsert(points: DataFrame, by: tuple[str, ...] = ("tenant_id",), key: str = "id", order: str = "seq", vector: str = "embedding") -> DataFrame:
+    """The last vector of each point of a tenant; a point's id is what follows ``--`` in its entity's id."""
+    point = exprs.point_id(F.col(key).cast("string")).alias("point_id")
+    return points.select(*by, point, order, vector).groupBy(*by, "point_id").agg(F.max_by(vector, order).alias(vector))

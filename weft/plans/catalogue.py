@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import exprs, hashing
-from weft.operators import dedup, deliver, graph, ingest, resolve
+from weft.operators import dedup, deliver, entities, graph, ingest, resolve
+from weft.session import checkpoint_root, cut
 from weft.sources.fixture import graph_fixture
+from weft.sources.plugins import Echo, read_plugin, registry, replace_tools
 from weft.sources.tables import load
+from weft.streaming import topics
+from weft.streaming.dedup import stream_dedup as deduplicate
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -60,7 +65,7 @@ WITH p AS (
   UNION ALL SELECT 'events', event_id, list_transform(json_keys(props), lambda x: struct_pack(k := x, v := json_extract_string(props, '$.' || x))) FROM events),
 j AS (SELECT origin, id, len(kv) = 0 AS is_empty,
   len(list_filter(kv, lambda x: x.v IS NULL OR x.v = '')) AS n_blank,
-  list_sort(list_transform(list_filter(kv, lambda x: x.v IS NULL OR x.v = ''), lambda x: x.k))[1] AS blank,
+  list_transform(list_filter(kv, lambda x: x.v IS NULL OR x.v = ''), lambda x: x.k)[1] AS blank,
   len(list_filter(kv, lambda x: x.k IN ('text','content','data','url'))) = 0 AS lacking FROM p)
 """
 
@@ -81,9 +86,8 @@ def validate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
    WHEN n_blank > 0 THEN 'payload.' || blank || ' must not be None or empty string' END AS error FROM j)
 SELECT origin, coalesce(error, 'ok') AS error, count(*) AS n FROM e GROUP BY ALL""")
 def dlq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = ingest.quarantine(_payloads(spark, sf_dir))
-    rows = good.select("origin", F.lit("ok").alias("error")).union(bad.select("origin", "error"))
-    return deliver.counters(rows, ["origin", "error"])
+    judged = _payloads(spark, sf_dir).withColumn("error", F.coalesce(exprs.first_violation(F.col("payload")), F.lit("ok")))
+    return deliver.counters(judged, ["origin", "error"])
 
 
 @register("""
@@ -249,6 +253,17 @@ k AS (SELECT id, candidate_id, score FROM r WHERE rk <= 5 AND id <> candidate_id
 
 def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit("default").alias("tenant_id"))
+    return resolve.vector_topk(e, e).select("id", "candidate_id", "score")
+
+
+@register("""
+WITH e AS (SELECT 't' || vec_id % 3 AS tenant_id, vec_id // 3 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.tenant_id, a.id, b.id AS candidate_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b USING (tenant_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, id ORDER BY score DESC, candidate_id) AS rk FROM s)
+SELECT tenant_id, id, candidate_id, score FROM r WHERE rk <= 5 AND id <> candidate_id""")
+def vector_topk_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings")
+    e = e.select(F.concat(F.lit("t"), F.col("vec_id") % 3).alias("tenant_id"), F.floor(F.col("vec_id") / 3).alias("id"), "embedding")
     return resolve.vector_topk(e, e)
 
 
@@ -281,12 +296,12 @@ def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH w AS (SELECT DISTINCT p_partkey AS id, p_brand, p_type, split_part(p_name, ' ', 1) AS name FROM part),
+WITH w AS (SELECT DISTINCT p_partkey AS id, p_brand, p_type, unnest(string_split(p_name, ' ')) AS name FROM part),
 a AS (SELECT DISTINCT p_partkey, p_brand, p_type, unnest(string_split(p_name, ' ')) AS alias FROM part)
 SELECT DISTINCT w.id, a.p_partkey AS candidate_id, 1.0::DOUBLE AS score FROM w JOIN a ON w.p_brand = a.p_brand AND w.p_type = a.p_type AND w.name = a.alias AND w.id <> a.p_partkey""")
 def alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parts(spark, sf_dir)
-    return resolve.alias_match(p.withColumn("name", F.get("aliases", F.lit(0))), p, ["tenant_id", "kind"])
+    return resolve.alias_match(p.withColumn("name", F.explode("aliases")), p, ["tenant_id", "kind"])
 
 
 _CO_SQL = """
@@ -368,8 +383,8 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, e
 SELECT user_id, event_id, event_type, round(value, 6) AS value, created_at, CASE WHEN n > 1 THEN ts END AS updated_at FROM r WHERE rk = 1""")
 def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    nodes = graph.upsert(e, ["user_id"], ["ts", "event_id"])
-    return nodes.join(graph.stamps(e, ["user_id"], "ts"), "user_id").select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"), "created_at", "updated_at")
+    nodes = graph.upsert(e, ["user_id"], ["ts", "event_id"], stamp="ts")
+    return nodes.select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"), "created_at", "updated_at")
 
 
 @register("""
@@ -443,12 +458,13 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(_LINK_SQL + """
-, o AS (SELECT DISTINCT src AS origin FROM l WHERE src <= 500), h0 AS (SELECT origin, origin AS id FROM o),
+, o AS (SELECT DISTINCT src AS origin FROM n), h0 AS (SELECT origin, origin AS id FROM o),
 h1 AS (SELECT * FROM h0 UNION SELECT origin, n.dst FROM h0 JOIN n ON n.src = h0.id),
 h2 AS (SELECT * FROM h1 UNION SELECT origin, n.dst FROM h1 JOIN n ON n.src = h1.id) SELECT origin, id FROM h2""")
 def khop_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir)
-    return graph.khop(links, links.where("src <= 500").select(F.col("src").alias("id")))
+    links = cut(links)
+    return graph.khop(links, links.select(F.col("src").alias("id")).union(links.select("dst")))
 
 
 @register(_LINK_SQL + "SELECT src, dst FROM l WHERE src IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND dst IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
@@ -464,7 +480,7 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_COMP_SQL + "SELECT c.id, c.component FROM comp c WHERE component IN (SELECT component FROM comp WHERE id = (SELECT min(src) FROM l))")
 def incremental_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _links(spark, sf_dir)
+    links = cut(_links(spark, sf_dir))
     origin = links.agg(F.min("src").alias("id"))
     return graph.incremental_components(links, origin, hops=None)
 
@@ -493,7 +509,7 @@ q AS (SELECT a.component, s.p_name || ' --[RELATED_TO]--> ' || t.p_name AS r FRO
 x AS (SELECT component, string_agg(r, ', ' ORDER BY r) AS relations FROM q GROUP BY 1)
 SELECT w.component AS community_id, entities, coalesce(relations, 'none') AS relations FROM w LEFT JOIN x USING (component)""")
 def community_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _links(spark, sf_dir)
+    links = cut(_links(spark, sf_dir))
     edges = links.withColumn("edge_type", F.lit("RELATED_TO"))
     return graph.context(graph.components(links), _parts(spark, sf_dir).select("id", "name", "kind"), edges)
 
@@ -527,26 +543,44 @@ def community_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_COMP_SQL + "SELECT a.component AS src_community, b.component AS dst_community, count(*) AS n_edges FROM l JOIN comp a ON a.id = l.src JOIN comp b ON b.id = l.dst GROUP BY 1, 2")
 def community_quotient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _links(spark, sf_dir)
+    links = cut(_links(spark, sf_dir))
     return graph.quotient(links, graph.components(links))
 
 
 @register(_SUMMARY_SQL + """
 , b AS (SELECT p_brand AS tenant_id, community_id, summary, row_number() OVER (PARTITION BY p_brand ORDER BY community_id) AS i FROM s JOIN part ON p_partkey = community_id)
-SELECT tenant_id, 'Good morning. Here is your intelligence briefing.' || chr(10) || string_agg(chr(10) || 'Section ' || i || ' — Community ' || community_id || ':' || chr(10) || summary, chr(10) ORDER BY i) AS script FROM b WHERE i <= 5 GROUP BY 1""")
+SELECT p.tenant_id, coalesce('Good morning. Here is your intelligence briefing.' || chr(10) || string_agg(chr(10) || 'Section ' || i || ' — Community ' || community_id || ':' || chr(10) || summary, chr(10) ORDER BY i), 'No intelligence data available at this time.') AS script
+FROM (SELECT DISTINCT p_brand AS tenant_id FROM part) p LEFT JOIN b ON b.tenant_id = p.tenant_id AND i <= 5 GROUP BY 1""")
 def briefing_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = _summaries(spark, sf_dir)[1].join(_parts(spark, sf_dir).select(F.col("id").alias("community_id"), "tenant_id"), "community_id")
-    return deliver.briefing_script(told.withColumnRenamed("summary", "community_summary"))
+    brands = _parts(spark, sf_dir).select(F.col("id").alias("community_id"), "tenant_id")
+    told = _summaries(spark, sf_dir)[1].join(brands, "community_id")
+    return deliver.briefing_script(told.withColumnRenamed("summary", "community_summary"), tenants=brands)
+
+
+@register(_SUMMARY_SQL + """
+, b AS (SELECT p_brand AS tenant_id, community_id, summary, row_number() OVER (PARTITION BY p_brand ORDER BY community_id) AS i FROM s JOIN part ON p_partkey = community_id)
+SELECT tenant_id, i AS place, CAST(community_id AS VARCHAR) AS community_id, summary AS community_summary FROM b WHERE i <= 10""")
+def briefing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = _parts(spark, sf_dir).select(F.col("id").alias("community_id"), "tenant_id")
+    told = _summaries(spark, sf_dir)[1].join(brands, "community_id")
+    return deliver.briefing_items(told.withColumnRenamed("summary", "community_summary"))
+
+
+@register(_SUMMARY_SQL + """
+, h AS (SELECT community_id, summary AS community_summary, len(list_intersect(string_split(lower(regexp_replace(summary, '[^0-9A-Za-z]+', ' ', 'g')), ' '), ['contains', '3', 'entities'])) AS hits FROM s)
+SELECT community_id, community_summary, CAST(hits AS INT) AS hits FROM h WHERE hits > 0 ORDER BY hits DESC, community_id LIMIT 10""")
+def summary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _summaries(spark, sf_dir)[1].select("community_id", F.col("summary").alias("community_summary"))
+    return graph.search_summaries(told, "Contains 3 entities").select("community_id", "community_summary", F.col("hits").cast("int").alias("hits"))
 
 
 @register("""
 WITH o AS (SELECT event_type AS tenant_id, 'briefings/' || event_type || '/' || strftime(ts, '%Y-%m-%d') || '/' || lpad(CAST(event_id AS VARCHAR), 12, '0') || '.mp3' AS object_key, CAST(ts AS DATE) AS day, ts FROM events)
-SELECT tenant_id, max_by(object_key, (day, ts, object_key)) AS object_key FROM o GROUP BY 1""")
+SELECT tenant_id, max(object_key) AS object_key FROM o GROUP BY 1""")
 def latest_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     key = deliver.object_key("briefings", F.col("event_type"), F.col("ts"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
-    objects = e.select(F.col("event_type").alias("tenant_id"), key.alias("object_key"), F.col("ts").cast("date").alias("day"), F.col("ts").alias("created_at"))
-    return deliver.latest_object(objects)
+    return deliver.latest_object(e.select(F.col("event_type").alias("tenant_id"), key.alias("object_key")))
 
 
 @register(_LINK_SQL + "SELECT src, dst FROM l WHERE src IN (SELECT p_partkey FROM part WHERE p_size > 10) AND dst IN (SELECT p_partkey FROM part WHERE p_size > 10)")
@@ -567,16 +601,15 @@ def graph_view_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
 WITH w AS (SELECT p_partkey AS id, p_brand, p_type, list_distinct(string_split(p_name, ' ')) AS t FROM part)
 SELECT a.id, b.id AS candidate_id, round(len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE), 6) AS score
-FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id""")
+FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id AND len(list_intersect(a.t, b.t)) > 0""")
 def name_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir)
-    b = p.select("tenant_id", "kind", F.col("id").alias("candidate_id"), F.col("aliases").alias("other"))
-    return p.join(b, ["tenant_id", "kind"]).where("id < candidate_id").select("id", "candidate_id", F.round(exprs.jaccard(F.col("aliases"), F.col("other")), 6).alias("score"))
+    found = resolve.word_overlap(_parts(spark, sf_dir), ["tenant_id", "kind"], words="aliases")
+    return found.select("id", "candidate_id", F.round("score", 6).alias("score"))
 
 
 @register()
 def phonetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir).withColumn("block", F.soundex(F.get("aliases", F.lit(0))))
+    p = _parts(spark, sf_dir).withColumn("block", F.array_join(F.transform("aliases", F.soundex), " "))
     return p.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -585,3 +618,228 @@ SELECT c_mktsegment AS tenant_id, n_name, count(*) AS n, round(sum(c_acctbal), 2
 def federated_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.rollup(F.col("c_mktsegment").alias("tenant_id"), "n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@register("""
+SELECT c_custkey, round(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(c_acctbal / 120) / 2), 2)
+  + cos(radians(c_acctbal / 120)) * cos(0.0) * pow(sin(radians((c_custkey % 360) - 180) / 2), 2)))), 3) AS km FROM customer""")
+def geo_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = F.lit(0.0)
+    km = exprs.haversine_km(zero, zero, F.col("c_acctbal") / 120, (F.col("c_custkey") % 360 - 180).cast("double"))
+    return load(spark, sf_dir, "customer").select("c_custkey", F.round(km, 3).alias("km"))
+
+
+# Entities and envelopes --------------------------------------------------------
+
+
+_ENTITY_SQL = """
+WITH e AS (
+  SELECT 'threat-actor--' || lpad(CAST(c_custkey AS VARCHAR), 36, '0') AS id, c_mktsegment AS tenant_id, c_name AS name, [c_name, c_mktsegment] AS aliases, CAST(round(c_acctbal / 50) AS INT) AS confidence, 'threat-actor' AS stix_type, 0 AS list_no FROM customer
+  UNION ALL SELECT 'identity--' || s_suppkey, 'default', s_name, NULL, NULL, 'identity', 2 FROM supplier
+  UNION ALL SELECT 'location--' || lpad(CAST(n_nationkey AS VARCHAR), 36, '0'), 'default', CASE WHEN n_nationkey % 2 = 0 THEN n_name END, NULL, 50, 'location', 6 FROM nation)
+"""
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def ident(kind: str, key: str, width: int = 0) -> F.Column:
+        text = F.col(key).cast("string")
+        return F.concat(F.lit(f"{kind}--"), F.lpad(text, width, "0") if width else text).alias("id")
+
+    c, s, n = (load(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    return entities.all_entities({
+        "location": n.select(ident("location", "n_nationkey", 36), F.lit("default").alias("tenant_id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("name"), F.lit(50).alias("confidence")),
+        "threat-actor": c.select(ident("threat-actor", "c_custkey", 36), F.col("c_mktsegment").alias("tenant_id"), F.col("c_name").alias("name"), F.array("c_name", "c_mktsegment").alias("aliases"), F.round(F.col("c_acctbal") / 50).cast("int").alias("confidence")),
+        "identity": s.select(ident("identity", "s_suppkey"), F.lit("default").alias("tenant_id"), F.col("s_name").alias("name")),
+    })
+
+
+@register(_ENTITY_SQL + "SELECT list_no, stix_type, count(*) AS n, count(name) AS named, count(confidence) AS rated FROM e GROUP BY 1, 2")
+def all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).groupBy("list_no", "stix_type").agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("named"), F.count("confidence").alias("rated"))
+
+
+@register(_ENTITY_SQL + """SELECT id, tenant_id, stix_type, name, CASE WHEN aliases IS NOT NULL THEN '["' || aliases[1] || '", "' || aliases[2] || '"]' END AS aliases, confidence FROM e""")
+def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.flatten(_entities(spark, sf_dir)).select("id", "tenant_id", "stix_type", "name", "aliases", "confidence")
+
+
+@register(_ENTITY_SQL + "SELECT id, coalesce(name, '') AS name, coalesce(len(aliases), 0) AS n_aliases, stix_type || ' ' || coalesce(name, '') AS blocking FROM e")
+def entity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocking = entities.blocking_text(F.col("stix_type"), F.col("name"))
+    return _entities(spark, sf_dir).select("id", entities.name_of(F.col("name")).alias("name"), F.size(entities.aliases_of(F.col("aliases"))).cast("long").alias("n_aliases"), blocking.alias("blocking"))
+
+
+@register(_ENTITY_SQL + """SELECT id, concat_ws(',', CASE WHEN NOT regexp_matches(id, '^[a-z-]+--[0-9a-f-]{36}$') THEN 'id' END, CASE WHEN confidence < 0 OR confidence > 100 THEN 'confidence' END) AS violations FROM e""")
+def entity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.violations(_entities(spark, sf_dir)).select("id", F.concat_ws(",", "violations").alias("violations"))
+
+
+@register(_ENTITY_SQL + """SELECT tenant_id, 'bundle--' || tenant_id AS bundle_id, '{"id":"' || id || '","type":"' || stix_type || '","spec_version":"2.1"' || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || '}' AS object FROM e""")
+def stix_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entities(spark, sf_dir).select("tenant_id", "id", F.col("stix_type").alias("type"), F.lit("2.1").alias("spec_version"), "name")
+    return entities.bundle(e, ["tenant_id"], F.concat(F.lit("bundle--"), "tenant_id"))
+
+
+@register("""
+SELECT CAST(event_id AS VARCHAR) AS id, event_type AS source, 'default' AS tenant_id, 'unknown' AS plugin_version, 'sensor' AS plugin_name, user_id AS ingest_latency_ms, '1.0' AS schema_version, ts AS timestamp FROM events""")
+def envelope_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    out = ingest.envelope(e, F.col("props"), F.col("event_type"), F.lit(None).cast("string"), F.col("event_id").cast("string"), F.lit(""), F.lit("sensor"), F.col("ts"), F.col("user_id"))
+    return out.select("id", "source", "tenant_id", "plugin_version", "plugin_name", "ingest_latency_ms", "schema_version", "timestamp")
+
+
+_KEYS_SQL = """
+WITH k AS (SELECT event_id, event_id % 5 AS c FROM events)
+SELECT event_id, CASE c WHEN 0 THEN 'a' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE NULL END AS id,
+  CASE c WHEN 1 THEN 't' WHEN 4 THEN NULL ELSE 'default' END AS tenant_id,
+  CASE c WHEN 2 THEN 'id must be a string' WHEN 3 THEN 'payload must be an object' WHEN 4 THEN 'envelope must be an object' END AS type_error FROM k"""
+
+
+@register(_KEYS_SQL)
+def envelope_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("event_id") % 5
+    value = F.when(c == 0, '{"id": "a", "payload": {"text": "x"}}').when(c == 1, '{"tenant_id": "t"}').when(c == 2, '{"id": null}').when(c == 3, '{"payload": 7}').otherwise("[1]")
+    rows = load(spark, sf_dir, "events").select("event_id", value.alias("value"))
+    return ingest.defaulted(rows).select("event_id", F.when(c < 4, F.col("id")).alias("id"), F.when(c < 4, F.col("tenant_id")).alias("tenant_id"), "type_error")
+
+
+@register("""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'hello' WHEN 1 THEN 'c' WHEN 2 THEN 'c' WHEN 3 THEN '' WHEN 4 THEN '3.5' ELSE 'True' END AS text FROM events""")
+def text_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("event_id") % 6
+    value = F.when(c == 0, '{"text": "hello", "content": "c"}').when(c == 1, '{"text": 0, "content": "c"}').when(c == 2, '{"text": [], "content": "c"}').when(c == 3, '{"text": false}').when(c == 4, '{"text": 3.5}').otherwise('{"content": true}')
+    return load(spark, sf_dir, "events").select("event_id", exprs.truthy_text(value, "text", "content").alias("text"))
+
+
+@register("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND text <> ''")
+def usable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "conversations").withColumn("type", F.when(F.col("role") == "user", "text").otherwise("image"))
+    return ingest.usable_blocks(c).select("conv_id", "turn", "text")
+
+
+# Alerts, topics, plugins ---------------------------------------------------------
+
+
+@register(_CONF_SQL + """
+SELECT sha256('t' || user_id % 7 || ':' || user_id || '-' || strftime(day, '%Y-%m-%d')) AS alert_id, 't' || user_id % 7 AS tenant_id, n_entities AS n_ids, CAST(user_id % 9 AS VARCHAR) AS community_id,
+  n_entities || CASE WHEN n_entities = 1 THEN ' entity' ELSE ' entities' END || ' extracted' AS summary, round(confidence, 6) AS confidence, day AS timestamp, user_id || '-' || strftime(day, '%Y-%m-%d') AS source_event_id
+FROM c WHERE confidence > 0.5::DOUBLE""")
+def alert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.col("user_id")
+    rows = _confidence(spark, sf_dir).select(
+        F.concat(user.cast("string"), F.lit("-"), F.date_format("day", "yyyy-MM-dd")).alias("event_id"), F.concat(F.lit("t"), user % 7).alias("tenant_id"),
+        F.sequence(F.lit(1), F.col("n_entities")).alias("entity_ids"), (user % 9).cast("string").alias("community_id"), "confidence", "day",
+    )
+    out = deliver.alert_records(rows, F.col("day"))
+    return out.select("alert_id", "tenant_id", F.size("entity_ids").cast("long").alias("n_ids"), "community_id", "summary", F.round("confidence", 6).alias("confidence"), "timestamp", "source_event_id")
+
+
+@register("SELECT doc_id, left(text, 500) AS summary FROM documents")
+def truncated_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", deliver.truncated(F.col("text")).alias("summary"))
+
+
+@register("""SELECT user_id, event_type, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY 1, 2""")
+def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deliver.gauges(load(spark, sf_dir, "events"), ["user_id", "event_type"], "value", ["ts", "event_id"]).withColumn("value", F.round("value", 6))
+
+
+@register("""
+SELECT CAST(event_id AS VARCHAR) AS key, '{"id":"' || event_id || '","source":"' || event_type || '","user":' || user_id || '}' AS value, event_type AS header_source FROM events""")
+def raw_event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("source"), F.col("user_id").alias("user"))
+    return topics.raw_event_records(e).select("key", "value", F.get("headers", F.lit(0))["value"].cast("string").alias("header_source"))
+
+
+@register("""SELECT 'echo' AS plugin, 'echo' AS tool, '1.0.0' AS version, CAST(i AS INT) AS seq, 'text' AS type, '{"text": "hi", "n": ' || i || '}' AS text FROM generate_series(0, 4) t(i)""")
+def plugin_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_plugin(spark, "weft.sources.plugins:Echo", message="hi", times="5")
+
+
+@register("""SELECT * FROM (VALUES ('http://b', 'echo', 'echo', '1.0.0'), ('http://a', 'echo', 'echo', '1.0.0'), ('manual', 'own', 'fetch', '')) t(url, plugin, tool, version)""")
+def tool_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = spark.createDataFrame([("http://a", "old", "gone", "0"), ("http://b", "echo", "echo", "1.0.0")], "url string, plugin string, tool string, version string")
+    return replace_tools(old, registry(spark, {"http://a": Echo()}, [("own", "fetch")]))
+
+
+@register(_TTL_SQL + "SELECT user_id, event_type, event_id, ts, is_new FROM f")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream run to its end and read back."""
+    schema = load(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = deduplicate(rows.select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], "ts", "event_id", 86_400)
+    folder = f"{checkpoint_root(spark)}/stream-dedup-{uuid.uuid4().hex}"
+    query = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
+# Tenants ---------------------------------------------------------------------------
+
+
+_TENANT_SQL = """
+WITH RECURSIVE l AS (SELECT DISTINCT o_orderpriority AS tenant_id, o_custkey AS src, o_orderkey AS dst FROM orders),
+n AS (SELECT tenant_id, src, dst FROM l UNION SELECT tenant_id, dst, src FROM l)
+"""
+
+
+def _tenant_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("tenant_id"), F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+
+
+@register(_TENANT_SQL + """
+, reach(tenant_id, id, r) AS (SELECT tenant_id, src, src FROM n UNION SELECT n.tenant_id, n.dst, reach.r FROM reach JOIN n ON n.tenant_id = reach.tenant_id AND n.src = reach.id)
+SELECT tenant_id, id, min(r) AS component FROM reach GROUP BY 1, 2""")
+def tenant_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_tenant_links(spark, sf_dir), by=("tenant_id",))
+
+
+@register(_TENANT_SQL + """
+, h0 AS (SELECT DISTINCT tenant_id, src AS origin, src AS id FROM l),
+h1 AS (SELECT * FROM h0 UNION SELECT h0.tenant_id, origin, n.dst FROM h0 JOIN n ON n.tenant_id = h0.tenant_id AND n.src = h0.id),
+h2 AS (SELECT * FROM h1 UNION SELECT h1.tenant_id, origin, n.dst FROM h1 JOIN n ON n.tenant_id = h1.tenant_id AND n.src = h1.id) SELECT tenant_id, origin, id FROM h2""")
+def tenant_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _tenant_links(spark, sf_dir)
+    return graph.khop(links, links.select("tenant_id", F.col("src").alias("id")), by=("tenant_id",))
+
+
+@register(_TENANT_SQL + """
+, b AS (SELECT o_orderpriority, o_custkey FROM orders WHERE o_totalprice > 100000 UNION SELECT o_orderpriority, o_orderkey FROM orders WHERE o_totalprice > 100000)
+SELECT tenant_id, src, dst FROM l WHERE (tenant_id, src) IN (SELECT * FROM b) AND (tenant_id, dst) IN (SELECT * FROM b)""")
+def tenant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = load(spark, sf_dir, "orders").where("o_totalprice > 100000")
+    nodes = big.select(F.col("o_orderpriority").alias("tenant_id"), F.col("o_custkey").alias("id")).union(big.select("o_orderpriority", "o_orderkey"))
+    return graph.with_both_ends(_tenant_links(spark, sf_dir).distinct(), nodes, by=("tenant_id",))
+
+
+@register(_COMP_SQL + """
+SELECT id, component, 'components' AS algorithm FROM comp UNION ALL SELECT p_partkey, p_partkey, 'components' FROM part WHERE p_partkey NOT IN (SELECT id FROM comp)""")
+def communities_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An algorithm that is not there falls back to components; isolated nodes are asked for."""
+    nodes = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return graph.detect(cut(_links(spark, sf_dir)), nodes, "leiden", include_isolated=True)
+
+
+_MERGE_SQL = """
+WITH old AS (SELECT p_brand AS tenant_id, 'part--' || p_partkey AS id, p_type, p_name, p_partkey AS seq, p_size FROM part WHERE p_partkey % 2 = 0),
+inc AS (SELECT p_brand AS tenant_id, 'part--' || p_partkey AS id, p_type, p_name, p_partkey AS seq, p_size FROM part WHERE p_partkey % 2 = 1),
+m AS (SELECT inc.*, (SELECT min(old.id) FROM old WHERE old.tenant_id = inc.tenant_id AND old.p_type = inc.p_type AND old.p_name = inc.p_name) AS hit FROM inc),
+r AS (SELECT tenant_id, id, p_type, p_name, seq, p_size, 0 AS took FROM old UNION ALL SELECT tenant_id, coalesce(hit, id), p_type, p_name, seq, p_size, CAST(hit IS NOT NULL AS INT) FROM m)
+"""
+
+
+@register(_MERGE_SQL + "SELECT tenant_id, id, arg_max(p_name, seq) AS name, max(seq) AS seq, arg_max(p_size, seq) AS size, CAST(sum(took) AS BIGINT) AS merged FROM r GROUP BY 1, 2")
+def resolved_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part").select(F.col("p_brand").alias("tenant_id"), F.concat(F.lit("part--"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq"), F.col("p_size").alias("size"))
+    old, new = p.where("seq % 2 = 0"), p.where("seq % 2 = 1")
+    found = resolve.name_match(new, old, ["tenant_id", "kind"]).join(new.select("tenant_id", "id"), "id")
+    decided = resolve.decide(new.select("tenant_id", "id"), found, by=("tenant_id",))
+    return resolve.resolved_nodes(old, new, decided).select("tenant_id", "id", "name", "seq", "size", "merged")
+
+
+@register("""
+SELECT 'default' AS tenant_id, CAST(vec_id % 50 AS VARCHAR) AS point_id, round(list_sum(CAST(arg_max(embedding, vec_id) AS DOUBLE[])), 3) AS total FROM embeddings GROUP BY 1, 2""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = load(spark, sf_dir, "embeddings").select(F.lit("default").alias("tenant_id"), F.concat(F.lit("vec--"), (F.col("vec_id") % 50).cast("string")).alias("id"), F.col("vec_id").alias("seq"), "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return resolve.vector_upsert(points).select("tenant_id", "point_id", F.round(total, 3).alias("total"))

@@ -1,7 +1,9 @@
 """Sliding time-to-live deduplication of streams.
 
-State is one timestamp a key, which goes after the time to live, so it is as
-large as the keys active within that time. Keys spread over the shuffle.
+State is one timestamp a key and goes once the watermark has passed its time to
+live, so it is as large as the keys active within that time. Newness and expiry
+are both judged by event time, so a replay at any speed gives what a batch gives.
+A row later than ``late`` is still judged if its key is held, and new otherwise.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_dedup(rows: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int) -> DataFrame:
+def stream_dedup(rows: DataFrame, keys: list[str], ts: str, tie: str, ttl_seconds: int, late: str = "10 minutes") -> DataFrame:
     """``keys, tie, ts, is_new`` for each row of a stream; repeats renew their key's time."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     names = [*keys, tie, ts]
@@ -31,7 +34,8 @@ def stream_dedup(rows: DataFrame, keys: list[str], ts: str, tie: str, ttl_second
             fresh.append(last is None or now - last > ttl_seconds)
             last = now if last is None else max(last, now)
         state.update((last,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        state.setTimeoutTimestamp(max(int((last + ttl_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield batch[names].assign(is_new=fresh)
 
-    return rows.groupBy(*keys).applyInPandasWithState(step, out, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = rows.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", late)
+    return timed.groupBy(*keys).applyInPandasWithState(step, out, "last double", "append", GroupStateTimeout.EventTimeTimeout)
