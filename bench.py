@@ -12,7 +12,7 @@ from weft.session import local_session
 HEADLINE = [
     "envelope_defaults", "validate_errors", "dlq_split", "content_hash", "dedup_first", "dedup_sliding_ttl", "dedup_clusters",
     "confidence_histogram", "alerts_above_threshold", "highlight_active", "vector_topk", "name_match", "cooccurrence",
-    "resolution_decision", "node_upsert", "edge_upsert", "connected_components", "community_context", "briefing_script",
+    "resolution_decision", "resolved_nodes", "node_upsert", "edge_upsert", "tenant_components", "connected_components", "community_context", "briefing_script",
 ]
 
 

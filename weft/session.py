@@ -43,6 +43,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = tempfile.mkdtemp(prefix="weft-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
