@@ -13,9 +13,11 @@ right, since every full window around it holds one of the two extensions whole.
 The last level compares whole windows by two independent 64-bit hashes and
 finds the least ``doc_id`` each starts in.
 
-Levels are aggregations and equality joins on hashes: a passage shared by a
-third of all documents costs rows in proportion, with map-side combining, and
-no group is ever gathered.
+Passages that very many documents share are known beforehand from a sample of
+texts (``_SAMPLE``): a window that two sampled texts hold is repeated, so at the
+earlier levels its rows need not meet and are dealt at random. At the last level
+they are dealt by window and salt; the least row of each salt then meets those of
+the other salts. The sample decides where rows go, never what is removed.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ from weft.session import cut, shuffle_partitions
 WINDOW = 13
 BASE = 4
 _LAST = 2**63 - 1
+_SAMPLE = 1024
+_OFTEN = 65_536
+_SALTS = 64
+_CHECK = np.uint64(0x5851F42D4C957F2D)
 
 
 def levels(window: int = WINDOW, base: int = BASE) -> list[int]:
@@ -94,45 +100,102 @@ class _Out:
         self.n, self.parts = 0, [[] for _ in self.names]
 
 
-def _first_level(window: int, base: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(words: np.ndarray, length: int, side: int | None = None) -> np.ndarray:
+    """Keys of all windows of ``length`` words, as extensions to the left (0) or right (1) if ``side`` is given."""
+    found = roll(words, length)
+    return found if side is None else mix64(found + np.uint64(side))
+
+
+def _check(words: np.ndarray, window: int) -> np.ndarray:
+    return roll(mix64(words ^ _CHECK), window)
+
+
+def _is_in(keys: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are among the sorted ``often``."""
+    if not len(often):
+        return np.zeros(len(keys), bool)
+    return often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
+
+
+def _dealt_apart(keys: np.ndarray, sure: np.ndarray, row: int, at: np.ndarray) -> np.ndarray:
+    """Keys to shuffle by: those of windows known as repeated give way to random ones."""
+    out = signed(keys).copy()
+    out[sure] = signed(mix64(at[sure].astype(np.uint64) + mix64(np.array([row], np.int64).view(np.uint64))))
+    return out
+
+
+def _signed_at(at: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Places, below zero for windows known as common: one column less to shuffle."""
+    return np.where(common, -1 - at, at).astype(np.int32)
+
+
+def _sampled(window: int, steps: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct window keys of each text, by level."""
+    for batch in batches:
+        for text in batch.column(0):
+            words = hash_words(text.as_py() or b"")
+            for i, length in enumerate(steps):
+                if i in (0, len(steps) - 1):
+                    found = np.unique(_grams(words, length))
+                else:
+                    found = np.unique(np.concatenate([_grams(words, length, side) for side in (0, 1)]))
+                yield _rows(["level", "key"], [np.full(len(found), i, np.int32), signed(found)])
+
+
+def often_keys(texts: DataFrame, window: int, steps: list[int]) -> list[np.ndarray]:
+    """For each level the window keys that most sampled texts share, sorted: at most ``_OFTEN`` a level."""
+    every = max(1, texts.count() // _SAMPLE)
+    few = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(every)) == 0).groupBy("text_key").agg(F.first("text").alias("text"))
+    found = few.select("text").mapInArrow(partial(_sampled, window, steps), "level int, key long")
+    counted = cut(found.groupBy("level", "key").count().where("count > 1"))
+    out = []
+    for i in range(len(steps)):
+        top = counted.where(F.col("level") == i).orderBy(F.desc("count"), "key").limit(_OFTEN).select("key").collect()
+        out.append(np.sort(np.array([r["key"] for r in top], np.int64).view(np.uint64)))
+    return out
+
+
+def _first_level(window: int, base: int, often: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = _Out(["key", "text_key", "row", "at"])
+    known = often.value[0]
     for batch in batches:
         rows, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for row, key, text in zip(rows, keys, batch.column(2)):
             words = hash_words(text.as_py() or b"")
             if len(words) < window:
                 continue
-            grams = roll(words, base)
+            grams = _grams(words, base)
             at = anchors(grams, window - base + 1)
-            yield from out.add(signed(grams[at]), np.full(len(at), key), np.full(len(at), row), (2 * at + 1).astype(np.int32))
+            sure = _is_in(grams[at], known)
+            yield from out.add(_dealt_apart(grams[at], sure, row, at), np.full(len(at), key), np.full(len(at), row), _signed_at(2 * at + 1, sure))
     yield from out.flush()
 
 
-def _extend(window: int, base: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extend(base: int, length: int, level: int, often: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Both extensions to ``length`` words of each surviving anchor.
 
     Places travel as twice the anchor's, plus one for the extension to the right.
     """
     out = _Out(["key", "text_key", "row", "at"])
+    known = often.value[level]
     for batch in batches:
         rows, texts, places, keys = (batch.column(i) for i in (0, 2, 3, 4))
         for row, key, text, at in zip(rows.to_numpy(), keys.to_numpy(), texts, places):
             at = np.unique(at.values.to_numpy() >> 1)
-            grams = roll(hash_words(text.as_py()), length)
+            words = hash_words(text.as_py())
             for side, start in ((0, at - (length - base)), (1, at)):
+                grams = _grams(words, length, side)
                 ok = (start >= 0) & (start < len(grams))
-                yield from out.add(
-                    signed(mix64(grams[start[ok]] + np.uint64(side))),
-                    np.full(ok.sum(), key),
-                    np.full(ok.sum(), row),
-                    (2 * at[ok] + side).astype(np.int32),
-                )
+                found, place = grams[start[ok]], 2 * at[ok] + side
+                sure = _is_in(found, known)
+                yield from out.add(_dealt_apart(found, sure, row, place), np.full(len(found), key), np.full(len(found), row), _signed_at(place, sure))
     yield from out.flush()
 
 
-def _last_level(window: int, base: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every full window around a surviving extension of ``length`` words, under two hashes."""
+def _last_level(window: int, base: int, length: int, often: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every full window around a surviving extension of ``length`` words, under two hashes, the second salted if it is common."""
     out = _Out(["key", "check", "doc_id", "row", "at"])
+    known = often.value[-1]
     for batch in batches:
         rows, docs, texts, places = (batch.column(i) for i in range(4))
         for row, doc, text, at in zip(rows.to_numpy(), docs.fill_null(_LAST).to_numpy(), texts, places):
@@ -143,13 +206,11 @@ def _last_level(window: int, base: int, length: int, batches: Iterator[pa.Record
             np.add.at(starts, np.maximum(begin + length - window, 0), 1)
             np.add.at(starts, np.minimum(begin, len(words) - window) + 1, -1)
             start = np.flatnonzero(np.cumsum(starts[:-1]) > 0)
-            yield from out.add(
-                signed(roll(words, window)[start]),
-                signed(roll(mix64(words ^ np.uint64(0x5851F42D4C957F2D)), window)[start]),
-                np.full(len(start), doc),
-                np.full(len(start), row),
-                start.astype(np.int32),
-            )
+            found = _grams(words, window)[start]
+            common = _is_in(found, known)
+            check = _check(words, window)[start]
+            check[common] ^= np.uint64(int(row) % _SALTS)
+            yield from out.add(signed(found), signed(check), np.full(len(start), doc), np.full(len(start), row), _signed_at(start, common))
     yield from out.flush()
 
 
@@ -182,7 +243,18 @@ def _survivors(rows: DataFrame) -> DataFrame:
     """``(row, at)`` of the windows that occur in two different texts, in one shuffle."""
     same = W.partitionBy("key")
     seen = rows.withColumn("low", F.min("text_key").over(same)).withColumn("high", F.max("text_key").over(same))
-    return seen.where("low <> high").select("row", "at")
+    return seen.where("at < 0 or low <> high").select("row", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).cast("int").alias("at"))
+
+
+def _later(last: DataFrame) -> DataFrame:
+    """``(row, at)`` of the full windows that also start in a document with a smaller id."""
+    place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).cast("int").alias("at")
+    salted = last.withColumn("least", F.min("doc_id").over(W.partitionBy("key", "check")))
+    # the least rows of each salt of a common window, at most one document a salt, meet once more
+    open_ = salted.where((F.col("least") == F.col("doc_id")) & (F.col("at") < 0))
+    plain = F.col("check").bitwiseXOR(F.pmod("row", F.lit(_SALTS)))
+    settled = open_.withColumn("first", F.min("doc_id").over(W.partitionBy("key", plain))).where("first < doc_id")
+    return salted.where("least < doc_id").select("row", place).union(settled.select("row", place))
 
 
 def _by_row(places: DataFrame) -> DataFrame:
@@ -208,14 +280,14 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> Da
     )
     keyed = base_rows.withColumn("text_key", F.xxhash64("text"))
     kind = "key long, text_key long, row long, at int"
-    found = _by_row(
-        _survivors(keyed.select("row", "text_key", "text").mapInArrow(partial(_first_level, window, base), kind))
-    )
+    steps = levels(window, base)
+    often = docs.sparkSession.sparkContext.broadcast(often_keys(keyed.select("text_key", "text"), window, steps))
+    found = _by_row(_survivors(keyed.select("row", "text_key", "text").mapInArrow(lambda it: _first_level(window, steps[0], often, it), kind)))
     # Of equal texts only the least doc_id goes on: all windows of the others start in it.
-    slim = keyed.where("text is not null").select("row", "text_key", F.coalesce("doc_id", F.lit(_LAST)).alias("order_id"))
-    least_id = slim.groupBy("text_key").agg(F.min("order_id").alias("first_id"))
+    slim = keyed.where("text is not null").select("row", "text_key", F.xxhash64(F.lit(1), "text").alias("check_key"), F.coalesce("doc_id", F.lit(_LAST)).alias("order_id"))
+    least_id = slim.groupBy("text_key", "check_key").agg(F.min("order_id").alias("first_id"))
     copies = cut(
-        slim.join(least_id, "text_key").where("order_id > first_id").groupBy("row").agg(F.lit(True).alias("copy"))
+        slim.join(least_id, ["text_key", "check_key"]).where("order_id > first_id").groupBy("row").agg(F.lit(True).alias("copy"))
     )
     # The texts' only shuffle: all levels read the same columns of it, so it is made once.
     dealt = base_rows.repartition(shuffle_partitions(docs.sparkSession), "row")
@@ -223,13 +295,14 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> Da
     def carrying(places: DataFrame) -> DataFrame:
         return dealt.join(places.join(copies, "row", "left_anti").hint("shuffle_hash"), "row").select("row", "doc_id", "text", "at")
 
-    steps = levels(window, base)
-    for length in steps[1:-1]:
+    for level, length in enumerate(steps[1:-1], 1):
         longer = carrying(found).withColumn("text_key", F.xxhash64("text"))
-        found = _by_row(_survivors(longer.mapInArrow(partial(_extend, window, base, length), kind)))
-    last = carrying(found).mapInArrow(partial(_last_level, window, base, steps[-2] if len(steps) > 1 else base), "key long, check long, doc_id long, row long, at int")
-    same = W.partitionBy("key", "check")
-    later = _by_row(last.withColumn("least", F.min("doc_id").over(same)).where("least < doc_id").select("row", "at"))
+        found = _by_row(_survivors(longer.mapInArrow(lambda it, n=length, i=level: _extend(steps[0], n, i, often, it), kind)))
+    before = steps[-2] if len(steps) > 1 else steps[0]
+    last = carrying(found).mapInArrow(
+        lambda it: _last_level(window, steps[0], before, often, it), "key long, check long, doc_id long, row long, at int"
+    )
+    later = _by_row(_later(last))
     return (
         dealt.join(later.hint("shuffle_hash"), "row", "left")
         .join(copies.hint("shuffle_hash"), "row", "left")
