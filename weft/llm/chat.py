@@ -9,8 +9,8 @@ into packs of bounded size; a pack holds every shared turn once, with
 * the token ids, depth first,
 * a position id for each token: its place in its own conversation,
 * a mask of the tokens to learn from (assistant texts),
-* for each turn its span, its parent, and with the parents the spans of all
-  ancestors, which with the turn itself are what its tokens may attend to,
+* for each turn its span, its parent, and the intervals of tokens of all its
+  ancestors: a token attends to these and to its own turn up to itself,
 * for each conversation its last turn in the pack.
 
 Template: ``<|turn|>role<|text|>text<|end|>``. Inside roles and texts a backslash
@@ -39,7 +39,7 @@ PACK_TOKENS = 8192
 PACK_CONVERSATIONS = 2048
 PACK = (
     "tokens array<int>, positions array<int>, learn array<boolean>, turn_start array<int>, turn_end array<int>, "
-    "turn_parent array<int>, conv_id array<bigint>, conv_turn array<int>"
+    "turn_parent array<int>, attend_start array<array<int>>, attend_end array<array<int>>, conv_id array<bigint>, conv_turn array<int>"
 )
 _FORM = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
 
@@ -53,13 +53,18 @@ def unescape(text: str) -> str:
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """``(conv_id, turns)``: the turns of each conversation in order; nulls are empty strings."""
+    """``(conv_id, turns)``: the turns of each conversation in order; nulls are empty strings.
+
+    Nothing says which rows without a ``conv_id`` belong together, so each is a conversation of its own.
+    """
     turn = F.struct(
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    ident = F.col("conv_id").cast("long")
+    keyed = rows.select(ident.alias("conv_id"), F.when(ident.isNull(), F.monotonically_increasing_id()).alias("alone"), turn.alias("told"))
+    return keyed.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("told")).alias("turns")).drop("alone")
 
 
 class _Pack:
@@ -68,6 +73,7 @@ class _Pack:
         self.positions: list[int] = []
         self.learn: list[bool] = []
         self.spans: list[tuple[int, int, int]] = []
+        self.attend: list[tuple[list[int], list[int]]] = []
         self.convs: list[tuple[int | None, int]] = []
         self.path: list[tuple[tuple[str, str], int]] = []
 
@@ -84,6 +90,7 @@ class _Pack:
             start = len(self.tokens)
             self.tokens += ids
             self.positions += range(at, at + len(ids))
+            self.attend.append(_joined([self.spans[n] for _, n in self.path]))
             before = len(head) + 2
             self.learn += [False] * before + [role == LEARN] * len(body) + [False]
             at += len(ids)
@@ -93,12 +100,25 @@ class _Pack:
 
     def row(self) -> tuple:
         starts, ends, parents = zip(*self.spans)
-        return (self.tokens, self.positions, self.learn, list(starts), list(ends), list(parents), [c for c, _ in self.convs], [n for _, n in self.convs])
+        attend = [[a for a, _ in self.attend], [b for _, b in self.attend]]
+        return (self.tokens, self.positions, self.learn, list(starts), list(ends), list(parents), *attend, [c for c, _ in self.convs], [n for _, n in self.convs])
+
+
+def _joined(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of ascending spans, neighbours joined."""
+    starts, ends = [], []
+    for a, b, _ in spans:
+        if ends and ends[-1] == a:
+            ends[-1] = b
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def _batch(packs: list[_Pack]) -> pa.RecordBatch:
     ints, flags, longs = pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int64())
-    kinds = [ints, ints, flags, ints, ints, ints, longs, ints]
+    kinds = [ints, ints, flags, ints, ints, ints, pa.list_(ints), pa.list_(ints), longs, ints]
     cols = list(zip(*[p.row() for p in packs]))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PACK.split(", ")])
 
@@ -107,9 +127,9 @@ def pack(rows: DataFrame, ranks: str = vocab.RANKS, pack_tokens: int = PACK_TOKE
     """Packs over all conversations of ``rows`` (``conv_id, turn, role, text``).
 
     A null role or text is empty; turns of one number follow by role and text, and
-    repeated rows are repeated turns; rows with a null ``conv_id`` are one
-    conversation; one conversation longer than a pack is a pack of its own; an
-    empty table gives no packs; other columns do not matter.
+    repeated rows are repeated turns; a null turn comes first; a row with a null
+    ``conv_id`` is a conversation of its own; one conversation longer than a pack
+    is a pack of its own; an empty table gives no packs; other columns do not matter.
     """
     spark = rows.sparkSession
     shared = vocab.shared(spark, ranks)
@@ -154,6 +174,8 @@ def ancestors(parents: list[int], turn: int) -> list[int]:
 def read_back(packs: DataFrame, ranks: str = vocab.RANKS) -> DataFrame:
     """Each conversation as its pack's tokens say: digests of its turns and of what is learned.
 
+    What its last turn attends to must be the conversation, token by token.
+    Nulls were written as empty strings, so none come back.
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens``.
     """
     shared = vocab.shared(packs.sparkSession, ranks)
@@ -176,8 +198,10 @@ def read_back(packs: DataFrame, ranks: str = vocab.RANKS) -> DataFrame:
                     turns = [(unescape(r), unescape(t)) for r, t in _FORM.findall(formatted)]
                     loss = "".join(turn_loss[n] for n in path)
                     told = "".join(f"{r}\n{t}\n" for r, t in turns)
-                    span = [(p["turn_start"][n], p["turn_end"][n]) for n in path]
+                    span = [*zip(p["attend_start"][last], p["attend_end"][last]), (p["turn_start"][last], p["turn_end"][last])]
                     places = np.concatenate([p["positions"][a:b] for a, b in span])
+                    if [x for n in path for x in (p["turn_start"][n], p["turn_end"][n])] != _cuts(span, p, path):
+                        raise ValueError(f"conversation {conv} attends to other turns than its own")
                     if (places != np.arange(len(places))).any():
                         raise ValueError(f"positions of conversation {conv} do not run from 0")
                     out.append((conv, len(turns), _sha(told), len(loss), _sha(loss), len(formatted), len(places)))
@@ -190,5 +214,19 @@ def read_back(packs: DataFrame, ranks: str = vocab.RANKS) -> DataFrame:
     )
 
 
+def _cuts(span: list[tuple[int, int]], p: dict, path: list[int]) -> list[int]:
+    """Starts and ends of the path's turns, as far as ``span`` covers them in order and nothing else."""
+    out, at = [], [x for a, b in span for x in (a, b)]
+    inside = {(p["turn_start"][n], p["turn_end"][n]) for n in path}
+    for a, b in zip(at[::2], at[1::2]):
+        while a < b:
+            step = next((e for s, e in inside if s == a), None)
+            if step is None:
+                return out
+            out += [a, step]
+            a = step
+    return out
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
