@@ -18,7 +18,9 @@ How the join stays sparse:
 4. A key with more than ``hot`` fingerprints leaves the pair join: its members
    are dealt into blocks of bounded size, every two blocks meet in a task of
    their own, and the task returns a spanning forest of the links, never all
-   pairs. Connectivity is exact either way.
+   pairs. Connectivity is exact either way. Inside a task rows are sorted by
+   their distance to the first pivot, so only a window of them is looked at, and
+   the other pivots discard before the exact distance verifies.
 
 Distances of unrelated fingerprints gather tightly around 32 of 64, so pivot
 coordinates alone separate too little to serve as join keys; that is why the
@@ -44,6 +46,7 @@ from weft.operators.components import connected_components
 from weft.session import cut
 
 _STEP = 32_768
+_SALTS = 16
 _LANES = 7
 _HIGH = 0x0080808080808080
 _LOW = 0x007F7F7F7F7F7F7F
@@ -132,21 +135,39 @@ def blocks_for(distinct: int, radius: int) -> int:
     return blocks
 
 
+def distances(marks: np.ndarray, count: int = 21) -> np.ndarray:
+    """The pivot distance table: a row of Hamming distances to the pivots for each fingerprint."""
+    near = np.array(pivots(count), np.int64).view(np.uint64)
+    return np.bitwise_count(marks[:, None] ^ near[None, :]).astype(np.int16)
+
+
 def _forest(radius: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links among a task's fingerprints.
+
+    Rows stand in order of their first pivot distance, so those that can link to
+    one are a window of it; the table's other coordinates discard most of the
+    window and the exact distance verifies what is left.
+    """
     marks = np.unique(pdf["fp"].to_numpy()).view(np.uint64)
+    table = distances(marks, 4)
+    order = np.argsort(table[:, 0], kind="stable")
+    marks, table = marks[order], table[order]
     left, right = [], []
-    rest = marks
+    rest = np.arange(len(marks))
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             one = todo.pop()
-            near = np.bitwise_count(rest ^ one) <= radius
-            hits = rest[near]
-            if len(hits):
-                left.append(np.full(len(hits), one))
-                right.append(hits)
+            low, high = np.searchsorted(table[rest, 0], [table[one, 0] - radius, table[one, 0] + radius + 1])
+            window = rest[low:high]
+            kept = np.flatnonzero(np.abs(table[window, 1:] - table[one, 1:]).max(axis=1, initial=0) <= radius)
+            kept = kept[np.bitwise_count(marks[window[kept]] ^ marks[one]) <= radius]
+            if len(kept):
+                hits = window[kept]
+                left.append(np.full(len(hits), marks[one]))
+                right.append(marks[hits])
                 todo.extend(hits)
-                rest = rest[~near]
+                rest = np.delete(rest, low + kept)
     empty = np.empty(0, dtype=np.uint64)
     a, b = (np.concatenate(x or [empty]).view(np.int64) for x in (left, right))
     return pd.DataFrame({"a": a, "b": b})
@@ -205,11 +226,14 @@ def _rooted(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     prints = cut(fingerprints(docs, shingle))
     own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = connected_components(links(own, radius), "a", "b")
-    rooted = own.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
+    rooted = cut(
+        own.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     )
+    # a component of very many fingerprints meets its least id in salted parts
+    salt = F.pmod(F.xxhash64("fp"), F.lit(_SALTS))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = cut(rooted.join(named, "root").select("fp", "root", "component_id"))
+    every = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    labels = cut(rooted.withColumn("salt", salt).join(every, ["root", "salt"]).select("fp", "root", "component_id"))
     return prints.join(labels, "fp")
 
 
