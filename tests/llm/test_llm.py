@@ -1,10 +1,12 @@
 """Training-data operators against brute force on small tables with odd rows."""
 
 import hashlib
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from weft.llm import chat, decontam, lm, mixture, neardup, queries, shards, simhash, sketch, substring, tokens, toxicity
@@ -237,7 +239,21 @@ def test_lm(spark, docs, none):
     got = lm.score(docs).collect()
     assert len(got) == len(ROWS)
     assert all(r["score"] < 0 for r in got)
+    words = lambda t: (t or "").encode().lower().split()
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    counts: dict = {}
+    for i, t, *_ in ROWS:
+        for w in [*words(t), None] if not held(i) else []:
+            counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    for r in got:
+        text = next(t for i, t, *_ in ROWS if i == r["doc_id"])
+        own = [*words(text), None]
+        base = sum(np.log10((counts.get(w, 0) + 0.1) / (total + 0.1 * (len(counts) + 1))) for w in own)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(own), sum(w in counts for w in own), total)
+        assert r["base_score"] == pytest.approx(base)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (3, 4)} == {1}
+    assert len({r["score"] for r in got if r["doc_id"] in (3, 4)}) == 1
     assert lm.score(none).count() == 0
 
 
@@ -256,3 +272,211 @@ def test_same_as_sql(spark, name):
     got = queries.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(cols)
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(want.fetchall())
+
+
+def test_lm_bits_as_told_one_by_one():
+    """The mixing of one short text, bit by bit with plain numbers, and trees whose paths add up to one."""
+    words = [b"w%d" % (i * i % 37) for i in range(300)]
+    text = b" ".join(words)
+    hashes, n = np.unique(lm._hashes(text), return_counts=True)
+    code = lm.make_code({int(h): int(c) for h, c in zip(hashes[:20], n[:20])}, 5, 3, np.arange(256), 1 << 10)
+    assert sum(0.5 ** int(x) for x in code.length[: len(code.words) + 2]) == pytest.approx(1)
+    assert sum(0.5 ** int(x) for x in code.length[len(code.words) + 2 :]) == pytest.approx(1)
+    rng = np.random.default_rng(1)
+    tables = lm.Tables(rng.integers(-40, 40, code.size).astype(np.int8), rng.integers(0, 4, code.size).astype(np.uint8), rng.normal(0.3, 0.1, (lm.GATES, lm.INPUTS)))
+    s = lm.read_slice(code, [text, b"", text[:40]])
+    got = lm.slice_bits(code, s, 3, tables)
+    for doc in range(3):
+        at = np.flatnonzero(s.doc == doc)
+        e = s.events(code, at)
+        block = lm.blocks(s.place[at])[e.item]
+        w, bend, bits, wait = tables.weights.copy(), np.full((lm.GATES, lm.INPUTS), lm.FIRM), 0.0, []
+        for k in range(len(e.item)):
+            if k and block[k] != block[k - 1]:
+                for i in range(lm.INPUTS):
+                    for g in {g for g, *_ in wait}:
+                        bend[g, i] += sum(c * x[i] ** 2 for h, c, _, x in wait if h == g)
+                        w[g, i] -= sum(p * x[i] for h, _, p, x in wait if h == g) / bend[g, i]
+                wait = []
+            cell = [int(c[k]) for c in e.cells]
+            x = [tables.odds[c] / lm.SCALE for c in cell]
+            gate = int(tables.known[cell[1]]) * 4 + int(tables.known[cell[3]])
+            sign = 1 - 2 * int(e.bit[k])
+            chance = 1 / (1 + np.exp(sign * sum(a * b for a, b in zip(x, w[gate]))))
+            bits -= np.log2(chance)
+            wait.append((gate, chance * (1 - chance), sign * (1 - chance), x))
+        assert got[doc] == pytest.approx(bits, rel=1e-4)
+
+
+def test_mixture_takes_documents_or_spans(spark, docs):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(int(rng.integers(0, 60)))), f"s{i % 4}" if i % 9 else None, i) for i in range(200)]
+    rows += [(7, rows[7][1], rows[7][2], 7)] * 3 + [(None, "no id here", "s1", 0), (7, "another text of that id", "s2", 0)]
+    small = spark.createDataFrame(rows, "doc_id long, text string, source string, _key long")
+    taken = mixture.mix(small).collect()
+    out = mixture.take(small, shard_as="_shard").collect()
+    texts = {t for _, t, *_ in rows}
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in taken)
+    assert sum(r["text"] not in texts for r in out) <= 2 * 5
+    assert all(any(r["text"] in t for t in texts) for r in out)
+    assert {r["_shard"] for r in out} <= set(range(mixture.SHARDS))
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, mixture.take(small, shard_as="_shard").collect()), key=repr)
+    by_source: dict = {}
+    for r in taken:
+        by_source.setdefault((r["target"], r["source_size"]), [0, r["target"]])[0] += r["taken"]
+    assert all(abs(got - goal) <= 2 * mixture.WIDTH for got, goal in by_source.values())
+
+
+def test_sketch_merges_and_estimates(spark):
+    words = [f"w{i}" for i in range(1200)]
+    a, b = " ".join(words[:900]), " ".join(words[300:])
+    row = spark.createDataFrame([(a, b, a + " " + b)], "a string, b string, c string").select(
+        sketch.sketch(F.col("a")).alias("a"), sketch.sketch(F.col("b")).alias("b"), sketch.merge(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("m")
+    ).select("*", sketch.resemblance(F.col("a"), F.col("b")).alias("like"), sketch.distinct_count(F.col("a")).alias("n"))
+    r = row.withColumn("part", sketch.containment(F.col("a"), F.col("b"), F.col("like"))).first()
+    assert r["like"] == pytest.approx(596 / 1196, abs=0.15)
+    assert r["part"] == pytest.approx(596 / 896, abs=0.15)
+    assert r["n"] == pytest.approx(896, rel=0.25)
+    assert r["m"] == sorted({*r["a"], *r["b"]})[: sketch.K]
+    both = sketch.corpus_sketch(spark.createDataFrame([("s", a), ("s", b), ("t", a)], "source string, text string"), ["source"])
+    got = {x["source"]: x["sketch"] for x in both.collect()}
+    assert (got["s"], got["t"]) == (r["m"], r["a"])
+
+
+def test_pivots_discard_unrelated_fingerprints():
+    rng = np.random.default_rng(2)
+    marks = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+    marks = np.concatenate((marks, marks[:50] ^ np.uint64(5)))
+    table, radius = simhash.distances(marks), 4
+    far = np.bitwise_count(marks[:, None] ^ marks[None, :])
+    kept = np.abs(table[:, None, :] - table[None, :, :]).max(axis=2) <= radius
+    assert kept[far <= radius].all()
+    assert kept[far > radius].mean() < 0.001
+    import pandas as pd
+
+    forest = simhash._forest(radius, pd.DataFrame({"fp": marks.view(np.int64)}))
+    assert len(forest) == 50
+
+
+def test_fingerprints_by_hand(spark):
+    words = "One two THREE four five two three".lower().split()
+    shingled = [" ".join(words[i : i + 4]).encode() for i in range(4)]
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingled]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 4)
+    got = simhash.near_duplicates(spark.createDataFrame([(1, "One two\tTHREE  four five two three"), (2, None)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {1: f"{want:016x}", 2: "0" * 16}
+
+
+def test_excerpts_and_edits_are_found(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz    ")
+    item = "q" + "".join(rng.choice(letters, 238)) + "z"
+    index = decontam.build([(1, item), (2, "tiny"), (3, "a short item of text")])
+    noise = lambda n: "".join(rng.choice(letters, n))
+    for at in range(0, 240 - 76, 7):
+        assert [m[0] for m in decontam.matches(noise(300) + " " + item[at : at + 76] + " " + noise(200), index)] == [1]
+    assert decontam.matches(noise(20_000), index) == []
+    assert [m[0] for m in decontam.matches("Tiny!", index)] == [2]
+    assert decontam.matches("a tiny thing", index) == []
+    assert [m[0] for m in decontam.matches("here is a short, item of TEXT. yes", index)] == [3]
+    assert decontam.matches("there is a shorts item of text", index) == []
+    found = 0
+    for _ in range(100):
+        copy = list(item)
+        for at in rng.choice(240, 5, replace=False):
+            copy[at] = rng.choice(letters[:26])
+        found += bool(decontam.matches(noise(200) + "".join(copy) + noise(200), index))
+    assert found >= 90
+
+
+def test_offending_sentences(spark):
+    rows = [(i, f"All is fine here number {i}. " * 3 + ("You are a zorkish fool. Go. What a zorkish day." if i % 4 == 0 else "A kind word.")) for i in range(400)]
+    docs = spark.createDataFrame([*rows, *rows[:1] * 50, (None, "You are a zorkish fool."), (900, None)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"), max_docs=60)
+    got = toxicity.offending(docs.where("doc_id = 8 or doc_id is null or doc_id = 900"), model).collect()
+    told = {(r["doc_id"], rows[8][1][r["start"] : r["end"]].strip()) for r in got if r["doc_id"] == 8}
+    assert told == {(8, "You are a zorkish fool."), (8, "What a zorkish day.")}
+    assert [r["sentence"] for r in got if r["doc_id"] is None] == [0]
+
+
+def test_tokens_by_hand(spark):
+    from weft.llm import vocab
+
+    text = "line one\nthe second line\n\nÄöü 😀 end"
+    encoder, lengths = vocab.encoding(vocab.shared(spark, vocab.RANKS).value)
+    ids, data = encoder.encode_ordinary(text), text.encode()
+    stops = np.cumsum(lengths[np.array(ids)])
+    line = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8)[:-1] == 10)))
+    want: dict = {}
+    for a, b in zip(np.concatenate(([0], stops[:-1])), stops):
+        shares = np.bincount(line[a:b])
+        want[int(np.argmax(shares))] = want.get(int(np.argmax(shares)), 0) + 1
+    got = tokens.section_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert {r["section"]: r["n_tokens"] for r in got if r["n_tokens"]} == want
+
+
+def test_chat_intervals_and_null_conversations(spark):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", f"t{t}" if t < 3 else f"c{i}t{t}") for i in range(6) for t in range(5)]
+    rows += [(None, 0, "user", "alone"), (None, 1, "assistant", "too"), (9, None, "user", "no turn"), (9, 1, "assistant", "x"), (9, 1, "assistant", "x")]
+    packs = chat.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), pack_tokens=10_000)
+    p = max(packs.collect(), key=lambda p: len(p["tokens"]))
+    for n, parent in enumerate(p["turn_parent"]):
+        path = chat.ancestors(p["turn_parent"], parent) if parent >= 0 else []
+        want = {x for m in path for x in range(p["turn_start"][m], p["turn_end"][m])}
+        assert {x for a, b in zip(p["attend_start"][n], p["attend_end"][n]) for x in range(a, b)} == want
+    got = chat.read_back(packs).collect()
+    assert sorted(-1 if r["conv_id"] is None else r["conv_id"] for r in got) == [-1, -1, 0, 1, 2, 3, 4, 5, 9]
+    assert {r["n_turns"] for r in got if r["conv_id"] == 9} == {3}
+
+
+CLASH = ("_id", "_key", "_text_key", "_spans", "_words", "row", "draw", "tie", "part", "piece", "id", "key", "fp", "copy", "shard")
+
+
+def test_odd_rows_and_clashing_names(spark):
+    rows = [(i, t, lang, src, n) for i, t, lang, src, n, _ in ROWS] + [(None, "no id", "en", "a", 5), (None, None, None, None, None), (5, "another text of id five", "en", "b", 3)]
+    wide = spark.createDataFrame([(*r, *range(len(CLASH))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASH))
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (None, "x")], "item_id long, text string")
+    model = toxicity.train(wide, labels)
+    n = len(rows)
+    assert simhash.near_duplicates(wide).count() == n
+    assert toxicity.scores(wide, model).count() == toxicity.keep_clean(wide, model).count() == n
+    assert substring.strip_repeats(wide).count() == sketch.fingerprints(wide).count() == n
+    assert mixture.mix(wide).count() == shards.assign(wide).count() == lm.score(wide).count() == n
+    assert tokens.section_tokens(wide).select("doc_id").distinct().count() == 9
+    assert {r["doc_id"] for r in decontam.find(wide, bench).collect()} == {1, 2, 5}
+    for stage in (neardup.keep_one(wide), simhash.keep_one(wide), decontam.keep_clean(wide, bench), mixture.take(wide), toxicity.keep_clean(wide, model)):
+        assert stage.columns == wide.columns
+        assert stage.count() > 0
+        assert all(r["tie"] == 7 for r in stage.collect())
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'abcdefgh'[i % 8]}{w}" for w in rng.integers(0, 900, int(rng.integers(5, 90)))) + "." for i in range(240)]
+    for i in range(0, 240, 3):
+        texts[i] += " You are a zorkish fool."
+    texts[10], texts[11] = texts[1], texts[4] + " more"
+    item = "what do seven purple otters juggle when the marble moon is high above the quiet harbour wall"
+    texts[20] += " " + item
+    texts += [None, ""]
+    docs = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [i for i, t in enumerate(texts) if not (t and "zorkish" in t)]
+    comp = _brute_components([texts[i] for i in clean])
+    kept = [clean[j] for j in range(len(clean)) if comp[j] == j]
+    kept = [i for i in kept if item not in (texts[i] or "")]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = spark.read.parquet(str(tmp_path / "documents.parquet")).where(F.col("doc_id").isin(kept))
+    want = mixture.take(left).select("doc_id", (F.octet_length("text") + 1).alias("size")).collect()
+    assert len({r["doc_id"] for r in got}) > 50
+    assert sorted(r["doc_id"] for r in got) == pytest.approx(sorted(r["doc_id"] for r in want))
+    assert sum(r["size"] for r in got) == sum(r["size"] for r in want)
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    loads = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert max(loads) <= 1.25 * sum(loads) / 16
