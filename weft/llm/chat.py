@@ -186,25 +186,28 @@ def read_back(packs: DataFrame, ranks: str = vocab.RANKS) -> DataFrame:
         kind = "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars n_tokens".split()
         for batch in batches:
             out = []
-            for p in batch.to_pylist():
-                spell = lambda ids: b"".join([words[i] for i in ids]).decode("utf-8")
-                turn_text, turn_loss = [], []
-                for a, b in zip(p["turn_start"], p["turn_end"]):
-                    turn_text.append(spell(p["tokens"][a:b]))
-                    turn_loss.append(unescape(spell([i for i, m in zip(p["tokens"][a:b], p["learn"][a:b]) if m])))
+            tokens, positions, learn = (_lists(batch, name) for name in ("tokens", "positions", "learn"))
+            rest = batch.select(["turn_start", "turn_end", "turn_parent", "attend_start", "attend_end", "conv_id", "conv_turn"])
+            for ids, places, mask, p in zip(tokens, positions, learn, rest.to_pylist()):
+                spell = lambda part: b"".join(map(words.__getitem__, part.tolist())).decode("utf-8")
+                ends, reach, told, chars, loss = dict(zip(p["turn_start"], p["turn_end"])), [], [], [], []
+                for a, b, parent in zip(p["turn_start"], p["turn_end"], p["turn_parent"]):
+                    at = reach[parent] if parent >= 0 else 0
+                    reach.append(at + b - a)
+                    if (places[a:b] != np.arange(at, at + b - a)).any():
+                        raise ValueError("positions do not go on from the turn before")
+                    turn = spell(ids[a:b])
+                    chars.append(len(turn))
+                    told.append([f"{unescape(role)}\n{unescape(text)}\n" for role, text in _FORM.findall(turn)])
+                    loss.append(unescape(spell(ids[a:b][mask[a:b]])))
                 for conv, last in zip(p["conv_id"], p["conv_turn"]):
                     path = ancestors(p["turn_parent"], last)
-                    formatted = "".join(turn_text[n] for n in path)
-                    turns = [(unescape(r), unescape(t)) for r, t in _FORM.findall(formatted)]
-                    loss = "".join(turn_loss[n] for n in path)
-                    told = "".join(f"{r}\n{t}\n" for r, t in turns)
                     span = [*zip(p["attend_start"][last], p["attend_end"][last]), (p["turn_start"][last], p["turn_end"][last])]
-                    places = np.concatenate([p["positions"][a:b] for a, b in span])
-                    if [x for n in path for x in (p["turn_start"][n], p["turn_end"][n])] != _cuts(span, p, path):
+                    if [x for n in path for x in (p["turn_start"][n], p["turn_end"][n])] != _cuts(span, ends):
                         raise ValueError(f"conversation {conv} attends to other turns than its own")
-                    if (places != np.arange(len(places))).any():
-                        raise ValueError(f"positions of conversation {conv} do not run from 0")
-                    out.append((conv, len(turns), _sha(told), len(loss), _sha(loss), len(formatted), len(places)))
+                    turns = [t for n in path for t in told[n]]
+                    learned = "".join(loss[n] for n in path)
+                    out.append((conv, len(turns), _sha("".join(turns)), len(learned), _sha(learned), sum(chars[n] for n in path), reach[last]))
             cols = list(zip(*out)) if out else [[]] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=kind)
@@ -214,17 +217,22 @@ def read_back(packs: DataFrame, ranks: str = vocab.RANKS) -> DataFrame:
     )
 
 
-def _cuts(span: list[tuple[int, int]], p: dict, path: list[int]) -> list[int]:
-    """Starts and ends of the path's turns, as far as ``span`` covers them in order and nothing else."""
-    out, at = [], [x for a, b in span for x in (a, b)]
-    inside = {(p["turn_start"][n], p["turn_end"][n]) for n in path}
-    for a, b in zip(at[::2], at[1::2]):
+def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+    """The lists of a column, as arrays."""
+    column = batch.column(name)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return iter(np.split(flat, np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else [])
+
+
+def _cuts(span: list[tuple[int, int]], ends: dict[int, int]) -> list[int]:
+    """Starts and ends of the turns that ``span`` covers, as far as it covers whole ones."""
+    out = []
+    for a, b in span:
         while a < b:
-            step = next((e for s, e in inside if s == a), None)
-            if step is None:
+            if a not in ends:
                 return out
-            out += [a, step]
-            a = step
+            out += [a, ends[a]]
+            a = ends[a]
     return out
 
 

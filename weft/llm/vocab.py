@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 import tiktoken
@@ -24,8 +25,9 @@ def shared(spark: SparkSession, path: str = RANKS) -> object:
     return spark.sparkContext.broadcast(data)
 
 
+@lru_cache(maxsize=1)
 def encoding(data: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoder, and the number of bytes of each token id."""
+    """The encoder, and the number of bytes of each token id; built once in a worker."""
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
     sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
     for token, rank in ranks.items():
