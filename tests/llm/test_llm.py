@@ -274,6 +274,18 @@ def test_same_as_sql(spark, name):
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(queries.companions()))
+def test_companions_same_as_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = con.execute(queries.companion_sql()[name])
+    cols = [c[0] for c in want.description]
+    got = queries.companions()[name](spark, SF)
+    assert sorted(got.columns) == sorted(cols)
+    flat = lambda rows: sorted(tuple(round(x, 3) if isinstance(x, float) else x for x in r) for r in rows)
+    assert flat(got.select(*cols).collect()) == flat(want.fetchall())
+
+
 def test_lm_bits_as_told_one_by_one():
     """The mixing of one short text, bit by bit with plain numbers, and trees whose paths add up to one."""
     words = [b"w%d" % (i * i % 37) for i in range(300)]
