@@ -112,7 +112,7 @@ def _telling(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, le
     return (count >= least) & ((seen[1] + 0.0) / mass[1] > lift * (seen[0] + 0.5 * unit) / (mass[0] + unit))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, batch: int = 48, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 12, batch: int = 48, rate: float = 0.03, decay: float = 1e-5, seed: int = 7) -> Model:
     """Minimises the weighted log loss of noisy-or bags by Adam. One class alone gives a constant model."""
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(1 << BITS, np.float32), 8.0 if len(labels) and labels[0] else -30.0)
