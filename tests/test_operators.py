@@ -302,3 +302,11 @@ def test_observed_counts(spark):
     rows, told = deliver.observed(spark.range(7))
     rows.collect()
     assert told.get["rows"] == 7
+
+
+def test_histogram_without_rows_counts_zero(spark):
+    none = spark.createDataFrame([], "k string, v long")
+    assert [tuple(r) for r in deliver.histogram(none, "v", (1, 2)).collect()] == [("1.0", 0), ("2.0", 0), ("+Inf", 0)]
+    assert deliver.histogram(none, "v", (1, 2), ["k"]).count() == 0
+    some = spark.createDataFrame([(1,), (2,), (None,)], "v long")
+    assert [tuple(r) for r in deliver.histogram(some, "v", (1, 2)).collect()] == [("1.0", 1), ("2.0", 2), ("+Inf", 3)]

@@ -91,8 +91,8 @@ def latest_object(objects: DataFrame, tenant: str = "tenant_id") -> DataFrame:
 def histogram(values: DataFrame, value: str, bounds: tuple, keys: list[str] | None = None) -> DataFrame:
     """Cumulative counts by upper bound, ``+Inf`` last."""
     labels = [*[str(float(b)) for b in bounds], "+Inf"]
-    counts = [F.sum(F.when(F.col(value) <= F.lit(float(b)), 1).otherwise(0)) for b in bounds] + [F.count(F.lit(1))]
-    wide = values.groupBy(*(keys or [])).agg(F.array(*[F.struct(F.lit(n).alias("le"), c.cast("long").alias("n")) for n, c in zip(labels, counts)]).alias("_h"))
+    counts = [F.count(F.when(F.col(value) <= F.lit(float(b)), 1)) for b in bounds] + [F.count(F.lit(1))]  # a sum over no rows is null
+    wide = values.groupBy(*(keys or [])).agg(F.array(*[F.struct(F.lit(n).alias("le"), c.alias("n")) for n, c in zip(labels, counts)]).alias("_h"))
     return wide.select(*(keys or []), F.explode("_h").alias("_b")).select(*(keys or []), "_b.le", "_b.n")
 
 
