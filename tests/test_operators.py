@@ -310,3 +310,14 @@ def test_histogram_without_rows_counts_zero(spark):
     assert deliver.histogram(none, "v", (1, 2), ["k"]).count() == 0
     some = spark.createDataFrame([(1,), (2,), (None,)], "v long")
     assert [tuple(r) for r in deliver.histogram(some, "v", (1, 2)).collect()] == [("1.0", 1), ("2.0", 2), ("+Inf", 3)]
+
+
+def test_alias_match_makes_each_pair_once(spark):
+    rows = [("t", 1, ["a", "b"]), ("t", 2, ["b", "a"]), ("t", 2, ["b", "a"]), ("t", 3, ["b", None]), ("t", 4, None), ("u", 1, ["a"]), ("u", 2, ["a", "c"]), ("u", 5, ["c"]), (None, 6, ["a"]), ("t", None, ["a"])]
+    p = spark.createDataFrame(rows, "tenant string, id long, aliases array<string>")
+    named = p.withColumn("name", F.explode("aliases"))
+    wanted = {(i, j) for s, i, x in rows for t, j, y in rows if s == t and s and i and j and i != j and {*(x or [])} & {*(y or [])} - {None}}
+    got = resolve.alias_match(named, p, ["tenant"]).collect()
+    assert sorted((r["id"], r["candidate_id"]) for r in got) == sorted(wanted)
+    plan = catalogue.queries()["alias_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "candidate_id" in x]  # pairs are not gathered to drop repeats

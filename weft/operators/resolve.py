@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.functions import exprs
+from weft.session import stash
+
+#: About how many ids a list holds.
+_LIST = 256
 
 
 def _pack(vector: Column) -> Column:
@@ -72,11 +76,77 @@ def name_match(incoming: DataFrame, existing: DataFrame, by: list[str], key: str
     return a.join(b, [*by, "_n"]).where("id <> candidate_id").select("id", "candidate_id", F.lit(1.0).alias("score"))
 
 
+def _named(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows without nulls in ``columns``: a null equals nothing."""
+    for c in columns:
+        rows = rows.where(F.col(c).isNotNull())
+    return rows
+
+
+def _classes(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(by, cid, words)`` of each distinct set of words of ``rows (by, id, words)``, and ``(cid, ids)``, its ids in lists.
+
+    ``words`` are sorted sets without nulls. Rows without a word or a ``by`` meet no other row and are left out.
+    Lists hold at most about ``_LIST`` ids, so a class of very many rows is many rows here.
+    """
+    some = _named(rows, *by).where(F.size("words") > 0)
+    sizes = some.groupBy(*by, "words").agg(F.count(F.lit(1)).alias("many"))
+    classes = stash(sizes.withColumn("cid", F.monotonically_increasing_id()), "word-classes")  # written, so that numbers stay
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / _LIST))
+    held = some.hint("merge").join(classes, [*by, "words"]).groupBy("cid", part.alias("part")).agg(F.collect_list("id").alias("ids"))
+    return classes.select(*by, "cid", "words"), stash(held.select("cid", "ids"), "word-lists")
+
+
+def _class_pairs(left: DataFrame, right: DataFrame, by: list[str], block: int = 256) -> DataFrame:
+    """``(a, b, shared, n, m)``: classes of ``left`` and ``right`` with a common word under equal ``by``.
+
+    Each pair comes out once, at the least word that both have, so nothing has to be
+    gathered afterwards. A word of many classes is dealt into blocks, every two of which meet apart.
+    """
+    x, y = (c.select(*by, "cid", "words", F.explode("words").alias("d")) for c in (left, right))
+    parts = x.union(y).groupBy(*by, "d").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    deal = lambda e: e.hint("merge").join(parts, [*by, "d"]).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = deal(x).select(*by, "d", F.col("cid").alias("a"), F.col("words").alias("wa"), F.col("mine").alias("i"), other.alias("j"))
+    b = deal(y).select(*by, "d", F.col("cid").alias("b"), F.col("words").alias("wb"), F.col("mine").alias("j"), other.alias("i"))
+    both = F.array_intersect("wa", "wb")
+    met = a.hint("merge").join(b, [*by, "d", "i", "j"]).where(F.array_min(both) == F.col("d"))
+    return met.select("a", "b", F.size(both).alias("shared"), F.size("wa").alias("n"), F.size("wb").alias("m"))
+
+
+def _members(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs`` of classes with ``id`` and ``candidate_id`` of their rows; lists travel, pairs of rows do not."""
+    a, b = left.select(F.col("cid").alias("a"), F.col("ids").alias("_x")), right.select(F.col("cid").alias("b"), F.col("ids").alias("_y"))
+    met = pairs.hint("merge").join(a.hint("merge"), "a").hint("merge").join(b.hint("merge"), "b")
+    return met.withColumn("id", F.explode("_x")).withColumn("candidate_id", F.explode("_y")).drop("a", "b", "_x", "_y")
+
+
 def alias_match(incoming: DataFrame, existing: DataFrame, by: list[str], key: str = "id", name: str = "name", aliases: str = "aliases") -> DataFrame:
-    """Names found among the aliases of existing entities; score 1."""
-    a = incoming.select(*by, F.col(name).alias("_n"), F.col(key).alias("id"))
-    b = existing.select(*by, F.explode(aliases).alias("_n"), F.col(key).alias("candidate_id")).distinct()
-    return a.join(b, [*by, "_n"]).where("id <> candidate_id").select("id", "candidate_id", F.lit(1.0).alias("score")).distinct()
+    """Names found among the aliases of existing entities; score 1.
+
+    Ids are grouped by their set of names, so only sets are compared and each pair
+    of ids is made once. Ids under several ``by`` can meet several times; only
+    pairs of two such ids go through a ``distinct``.
+    """
+    def sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = _named(rows, *by, "_n", "id").groupBy(*by, "id").agg(F.sort_array(F.collect_set("_n")).alias("words"))
+        own = stash(own, "name-sets")
+        often = own.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("id").alias("_o"))
+        return own, stash(often, "names-often")
+
+    a, often_a = sets(incoming.select(*by, F.col(name).alias("_n"), F.col(key).alias("id")))
+    b, often_b = sets(existing.select(*by, F.explode(aliases).alias("_n"), F.col(key).alias("id")))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        (cx, lx), (cy, ly) = _classes(x, by), _classes(y, by)
+        found = _members(_class_pairs(cx, cy, by).select("a", "b"), lx, ly)
+        return found.where("id <> candidate_id").select("id", "candidate_id", F.lit(1.0).alias("score"))
+
+    if often_a.isEmpty() or often_b.isEmpty():
+        return met(a, b)
+    a, b = (x.hint("merge").join(o, x["id"] == o["_o"], "left").withColumn("_often", F.col("_o").isNotNull()).drop("_o") for x, o in ((a, often_a), (b, often_b)))
+    once = met(a.where("not _often"), b).union(met(a.where("_often"), b.where("not _often")))
+    return once.union(met(a.where("_often"), b.where("_often")).distinct())
 
 
 def cooccurrence(edges: DataFrame, src: str = "src", dst: str = "dst", least: int = 2, by: tuple[str, ...] = (), block: int = 256) -> DataFrame:
