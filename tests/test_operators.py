@@ -321,3 +321,15 @@ def test_alias_match_makes_each_pair_once(spark):
     assert sorted((r["id"], r["candidate_id"]) for r in got) == sorted(wanted)
     plan = catalogue.queries()["alias_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Aggregate" in x and "candidate_id" in x]  # pairs are not gathered to drop repeats
+
+
+def test_word_overlap_meets_in_blocks_and_broadcasts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "_LIST", 2)
+    words = [["x"], ["x", "y"], ["y", "z"], ["x"], ["z", "z"], [], None, ["x", None]]
+    rows = [("t", i, w) for i, w in enumerate(words * 3)]
+    got = resolve.word_overlap(spark.createDataFrame(rows, "tenant string, id long, words array<string>"), ["tenant"]).collect()
+    sets = [{*(w or [])} - {None} for _, _, w in rows]
+    wanted = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a & b}
+    assert len(got) == len(wanted) and {(r["id"], r["candidate_id"]): r["score"] for r in got} == wanted
+    plan = catalogue.queries()["name_jaccard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan

@@ -170,12 +170,13 @@ def cooccurrence(edges: DataFrame, src: str = "src", dst: str = "dst", least: in
 
 
 def word_overlap(rows: DataFrame, by: list[str], key: str = "id", words: str = "words") -> DataFrame:
-    """``(id, candidate_id, score)``: Jaccard likeness of the word sets of pairs that share a word under equal ``by``."""
-    w = rows.select(*by, F.col(key).alias("s"), F.explode(F.array_distinct(words)).alias("d"))
-    sizes = rows.select(*by, F.col(key).alias("id"), F.size(F.array_distinct(words)).alias("n"))
-    both = cooccurrence(w, "s", "d", least=1, by=tuple(by)).where("id < candidate_id")
-    other = sizes.select(*by, F.col("id").alias("candidate_id"), F.col("n").alias("m"))
-    found = both.join(sizes, [*by, "id"]).join(other, [*by, "candidate_id"])
+    """``(id, candidate_id, score)``: Jaccard likeness of the word sets of pairs that share a word under equal ``by``.
+
+    Rows are grouped by their set of words; only distinct sets are compared, and their likeness is told to the rows.
+    """
+    own = F.sort_array(F.filter(F.array_distinct(words), lambda x: x.isNotNull()))
+    classes, lists = _classes(rows.select(*by, F.col(key).alias("id"), own.alias("words")), by)
+    found = _members(_class_pairs(classes, classes, by), lists, lists).where("id < candidate_id")
     return found.select("id", "candidate_id", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("score"))
 
 
