@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -333,3 +334,31 @@ def test_word_overlap_meets_in_blocks_and_broadcasts_nothing(spark, monkeypatch)
     assert len(got) == len(wanted) and {(r["id"], r["candidate_id"]): r["score"] for r in got} == wanted
     plan = catalogue.queries()["name_jaccard"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_vector_topk_by_cells_as_pair_by_pair(spark):
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(40, 8)).astype(np.float32)
+    rows = [("t" if i % 3 else "u", i, (base[i % 40] if i % 41 else np.zeros(8)).tolist()) for i in range(200)]  # copies tie, some are zero
+    rows.append(("t", 999, [float("nan")] * 8))
+    e = spark.createDataFrame(rows, "tenant_id string, id long, embedding array<float>")
+    got = {}
+    for r in resolve.vector_topk(e, e, k=4, block=5).where("id <> 999").collect():
+        got.setdefault(r["id"], []).append((-r["score"], r["candidate_id"]))
+    vs = {i: (t, np.array(v, np.float64)) for t, i, v in rows if i != 999}
+    for i, (t, v) in vs.items():
+        told = []
+        for j, (u, w) in vs.items():
+            if t == u:
+                size = (np.linalg.norm(v) or 1) * (np.linalg.norm(w) or 1)
+                told.append((-round(float(v @ w / size), 6), j))
+        told = sorted(told)[:4]
+        assert sorted(got[i]) == [x for x in told if x[1] != i], i
+
+
+def test_vector_blocks_grow_so_that_cells_stay_few(spark):
+    sizes = spark.createDataFrame([(1,), (4096,), (40_000,), (600_000,), (6_000_000,)], "n long")
+    assert [r[0] for r in sizes.select(resolve._blocks(F.col("n"), 4096)).collect()] == [1, 1, 8, 10, 92]
+    q = pd.DataFrame({"t": "a", "id": range(300), "v": [[1.0, i / 300] for i in range(300)], "side": 0})
+    found = resolve._block_topk(3, pd.concat([q, q.assign(side=1)]), strip=64, width=32)
+    assert (found.groupby("id").size() == 3).all() and (found.groupby("id")["score"].max() == 1.0).all()

@@ -19,37 +19,75 @@ def _pack(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("float"))
 
 
-def _block_topk(k: int, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The best ``k`` candidates of each query row of a block pair, by one matrix product."""
+def _unit(vectors: pd.Series) -> np.ndarray:
+    rows = np.stack(vectors.to_numpy()).astype(np.float64)
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(size > 0, size, 1.0)
+
+
+def _block_topk(k: int, pdf: pd.DataFrame, strip: int = 256, width: int = 4096) -> pd.DataFrame:
+    """The best ``k`` candidates of each query row of a cell, by matrix products of bounded size.
+
+    Products in single precision, whose error has a bound, leave out what cannot be among
+    a row's best ``k`` so far; only the rest are scored in double precision, rounded and ranked.
+    """
     q, c = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    empty = pd.DataFrame({"t": [], "id": [], "candidate_id": [], "score": []})
     if q.empty or c.empty:
-        return empty
-    c = c.sort_values("id")
-    names = c["id"].to_numpy()
+        return pd.DataFrame({"t": [], "id": [], "candidate_id": [], "score": []})
+    c = c.sort_values("id", kind="stable")  # ties go to the least id, so to the least place
+    ids, names = q["id"].to_numpy(), c["id"].to_numpy()
+    left, right = _unit(q["v"]), _unit(c["v"])
+    few, many = left.astype(np.float32), right.astype(np.float32)
+    slack = 1e-6 + (left.shape[1] + 8) * 1.2e-7  # of such a product of unit vectors, and of rounding to six digits
+    odd = not (np.isfinite(few).all() and np.isfinite(many).all())
     found = []
-    left, right = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (q, c))
-    left, right = (x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1.0) for x in (left, right))
-    for at in range(0, len(q), 512):
-        scores = np.round(left[at : at + 512] @ right.T, 6)
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        ids = np.repeat(q["id"].to_numpy()[at : at + 512], order.shape[1])
-        found.append(pd.DataFrame({"id": ids, "candidate_id": names[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()}))
+    for at in range(0, len(q), strip):
+        mine = few[at : at + strip]
+        floor = np.full(len(mine), -np.inf, np.float32)  # of what can still be among the best
+        rows, cols = np.empty(0, np.int64), np.empty(0, np.int64)
+        scores = np.empty(0)
+        for start in range(0, len(c), width):
+            near = mine @ many[start : start + width].T
+            if odd:
+                near[np.isnan(near)] = -np.inf  # ranked last
+            if start == 0 and near.shape[1] > k:
+                floor = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - np.float32(2 * slack)
+            flat = np.flatnonzero(near >= floor[:, None])
+            if not len(flat):
+                continue
+            r, at_c = np.divmod(flat, near.shape[1])
+            at_c += start
+            exact = np.round(np.einsum("ij,ij->i", left[at + r], right[at_c]), 6)
+            rows, cols, scores = np.concatenate((rows, r)), np.concatenate((cols, at_c)), np.concatenate((scores, exact))
+            order = np.lexsort((cols, -scores, rows))
+            rows, cols, scores = rows[order], cols[order], scores[order]
+            first = np.searchsorted(rows, rows)
+            best = np.arange(len(rows)) - first < k
+            rows, cols, scores = rows[best], cols[best], scores[best]
+            last = np.flatnonzero(np.bincount(rows, minlength=len(mine)) == k)
+            floor[last] = np.nan_to_num(scores[np.searchsorted(rows, last, "right") - 1] - slack, nan=-np.inf)
+        found.append(pd.DataFrame({"id": ids[at + rows], "candidate_id": names[cols], "score": scores}))
     out = pd.concat(found)
     out.insert(0, "t", q["t"].iloc[0])
     return out
 
 
+def _blocks(rows: Column, block: int) -> Column:
+    """Blocks that ``rows`` are dealt into: of at least ``block`` rows, eight if they can be, of at most ``16 * block``."""
+    return F.ceil(rows / F.least(F.greatest(rows / 8, F.lit(block)), F.lit(16 * block))).cast("int")
+
+
 def vector_topk(queries: DataFrame, index: DataFrame, k: int = 5, key: str = "id", vector: str = "embedding", tenant: str = "tenant_id", block: int = 4096) -> DataFrame:
     """``(tenant, id, candidate_id, score)``: the ``k`` most alike of the tenant, then without the row itself.
 
-    Exact. A tenant's queries and its index are dealt into blocks of about
-    ``block`` rows by hash; each pair of blocks is one task's matrix product, which
-    gives out ``k`` rows a query, so no tenant meets itself in one task.
+    Exact. A tenant's queries and its index are dealt into blocks of ``block`` to
+    ``16 * block`` rows by hash, eight of them while that is enough; each pair of blocks
+    is one task's cell, which gives out ``k`` rows a query, so no tenant meets itself in one task.
     """
     def dealt(rows: DataFrame, side: int) -> DataFrame:
         slim = rows.select(F.col(tenant).alias("t"), F.col(key).alias("id"), _pack(F.col(vector)).alias("v"))
-        parts = slim.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+        parts = slim.groupBy("t").agg(F.count(F.lit(1)).alias("rows"))
+        parts = parts.select("t", _blocks(F.col("rows"), block).alias("parts"))
         own = slim.join(parts, "t").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         return own.select("t", "id", "v", F.lit(side).alias("side"), "mine", "parts")
 
