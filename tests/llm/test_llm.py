@@ -492,3 +492,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     loads = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
     assert max(loads) <= 1.25 * sum(loads) / 16
+
+
+def test_near_copy_pivots_discard_and_keys_move_packed(spark):
+    draw = np.random.default_rng(5)
+    marks = []
+    for center in draw.integers(0, 2**64, (6, 2), dtype=np.uint64):
+        for _ in range(8):
+            flips = [sum(1 << int(b) for b in draw.choice(64, 4, replace=False)) for _ in range(2)]
+            marks.append([int(c) ^ f for c, f in zip(center, flips)])
+    rows = [(i, 10, *[int(np.uint64(x).astype(np.int64)) for x in m]) for i, m in enumerate(marks)]
+    nodes = spark.createDataFrame(rows, "fp long, n long, s0 long, s1 long")
+    far = lambda i, j: sum((x ^ y).bit_count() for x, y in zip(marks[i], marks[j]))
+    near = {(i, j) for i in range(len(marks)) for j in range(i) if far(i, j) <= neardup.RADIUS}
+    table = neardup.pivot_table(nodes).select("fp", "p")
+    kept = table.alias("a").join(table.alias("b"), F.col("a.fp") > F.col("b.fp")).where(neardup.within(F.col("a.p"), F.col("b.p"), neardup.RADIUS // 2))
+    kept = {(r[0], r[1]) for r in kept.select("a.fp", "b.fp").collect()}
+    assert near <= kept and len(kept) < len(marks) * (len(marks) - 1) // 4
+    for hot in (2, 100):
+        keys = [(i, [-7, i % 3, 1000 + i]) for i in range(len(marks))]
+        keys = spark.createDataFrame(keys + keys[:5], "fp long, keys array<long>")
+        found = neardup.candidates(nodes, keys, hot=hot).collect()
+        assert {tuple(sorted((r["a"], r["b"]), reverse=True)) for r in found} <= near
+        reach = {r["id"]: r["component"] for r in neardup.connected_components(spark.createDataFrame(found), "a", "b").collect()}
+        assert all(reach[i] == reach[j] for i, j in near)

@@ -11,9 +11,11 @@ fingerprints, and are verified on whole sets:
    texts link.
 2. Sets that share a key stay candidates if their 128-bit SimHash fingerprints
    differ in at most ``RADIUS`` bits. A linked pair differs in 15 to 19 % of its
-   bits, five deviations less; unrelated sets differ in half of them. (Distances
-   to pivots discard nothing here: for unrelated sets they differ by 8 on
-   average, far less than the radius. They serve at op1's radius.)
+   bits, five deviations less; unrelated sets differ in half of them. A pivot
+   table discards first: by the triangle inequality a pair is too far apart if
+   its distances to any pivot differ by more than ``RADIUS``. Unrelated sets
+   differ by 8 on average there, so pivots out of the data serve, far from each
+   other: one discards its own near copies against everything else.
 3. A key of more than ``hot`` sets leaves the pair join. Its sets are dealt into
    blocks of bounded size; every two blocks meet in a task that returns a
    spanning forest of the candidates, never all pairs.
@@ -35,15 +37,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.text import mix64
+from weft.llm.text import mix64, within
 from weft.operators.components import connected_components
-from weft.session import cut, stash
+from weft.session import cut, shuffle_partitions, stash
 
 #: Least similarity as numerator and denominator, so that comparisons are exact.
 LEAST = (4, 5)
 #: Most differing bits of 128 of a candidate.
 RADIUS = 44
 _SAMPLE = 4096
+_PIVOTS = 7
+_PIVOT_SAMPLE = 512
 _OFTEN = 65_536
 _LANE = np.uint64(0xA0761D6478BD642F)
 
@@ -133,13 +137,34 @@ def _spread(fps: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> t
     return left, right
 
 
+def _far(s0: np.ndarray, s1: np.ndarray, one: int) -> np.ndarray:
+    return np.bitwise_count(s0 ^ s0[one]).astype(np.int16) + np.bitwise_count(s1 ^ s1[one])
+
+
+def pivots(s0: np.ndarray, s1: np.ndarray, count: int = _PIVOTS) -> list[int]:
+    """Places of up to ``count`` fingerprints, each the one farthest from those before it."""
+    found = [0] if len(s0) else []
+    least = _far(s0, s1, 0) if found else s0
+    while 0 < len(found) < count and least.max() > 0:
+        found.append(int(least.argmax()))
+        least = np.minimum(least, _far(s0, s1, found[-1]))
+    return found
+
+
 def _candidate_forest(pdf: pd.DataFrame, radius: int) -> tuple[list, list]:
     fps, n = pdf["fp"].to_numpy(), pdf["n"].to_numpy()
     s0, s1 = pdf["s0"].to_numpy().view(np.uint64), pdf["s1"].to_numpy().view(np.uint64)
 
+    table = [_far(s0, s1, p) for p in pivots(s0, s1)]
+
     def near(one: int, rest: np.ndarray) -> np.ndarray:
-        far = np.bitwise_count(s0[rest] ^ s0[one]).astype(np.int64) + np.bitwise_count(s1[rest] ^ s1[one])
-        return (far <= radius) & (n[rest] * LEAST[1] >= n[one] * LEAST[0]) & (n[one] * LEAST[1] >= n[rest] * LEAST[0])
+        left = np.ones(len(rest), bool)
+        for column in table:
+            left &= np.abs(column[rest] - column[one]) <= radius
+        ok = np.flatnonzero(left)
+        far = np.bitwise_count(s0[rest[ok]] ^ s0[one]).astype(np.int64) + np.bitwise_count(s1[rest[ok]] ^ s1[one])
+        left[ok] = far <= radius
+        return left & (n[rest] * LEAST[1] >= n[one] * LEAST[0]) & (n[one] * LEAST[1] >= n[rest] * LEAST[0])
 
     return _spread(fps, near)
 
@@ -219,17 +244,82 @@ def _prints(slim: DataFrame, shingle: int) -> DataFrame:
     return stash(slim.mapInArrow(partial(_print_batches, shingle, often[order], seen), _PRINT), "neardup-prints")
 
 
-def candidates(nodes: DataFrame, radius: int = RADIUS, hot: int = 32, block_rows: int = 8192) -> DataFrame:
-    """Edges ``(a, b)`` that connect exactly what candidate pairs of ``nodes (fp, n, s0, s1, keys)`` connect."""
-    keyed = nodes.select("fp", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    held = keyed.join(shared, "key").select("key", "fp", "many")
-    held = stash(held.join(nodes.select("fp", "n", "s0", "s1"), "fp"), "neardup-keys")
+def _packed(ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of a batch of sets by range of keys: sorted keys, the places of their sets, and the sets' marks."""
+    for batch in batches:
+        fps, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # copies in a batch go once
+        held = batch.column(1).take(pa.array(first))
+        sizes = np.diff(held.offsets.to_numpy())
+        keys = held.flatten().to_numpy()
+        own = np.repeat(np.arange(len(fps), dtype=np.uint32), sizes)
+        place = (mix64(keys.view(np.uint64)) >> np.uint64(32)) % np.uint64(ranges)
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(ranges + 1, dtype=np.uint64))
+        for r in np.flatnonzero(np.diff(edges)).tolist():
+            pick = order[edges[r] : edges[r + 1]]
+            used, at = np.unique(own[pick], return_inverse=True)
+            width = "u1" if len(used) <= 1 << 8 else "u2" if len(used) <= 1 << 16 else "u4"
+            blobs = [keys[pick].tobytes(), at.astype(width).tobytes(), fps[used].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["r", "keys", "own", "fps"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(key, fp, many)`` of keys that several sets have; rows come sorted by range."""
+    now, keys, fps = None, [], []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        k, f = np.concatenate(keys), np.concatenate(fps)
+        order = np.lexsort((f, k))
+        k, f = k[order], f[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])))
+        k, f = k[new], f[new]
+        edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(edge, len(k)))
+        many = np.repeat(size, size)
+        k, f, many = (x[many > 1] for x in (k, f, many))
+        for at in range(0, len(k), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536]) for x in (k, f, many)], names=["key", "fp", "many"])
+
+    for batch in batches:
+        for r, *blobs in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+            if now is not None and r != now:
+                yield from out()
+                keys, fps = [], []
+            now = r
+            k, f = (np.frombuffer(blobs[i].as_py(), np.int64) for i in (0, 2))
+            own = blobs[1].as_py()
+            keys.append(k)
+            fps.append(f[np.frombuffer(own, f"u{len(own) // len(k)}")])
+    if now is not None:
+        yield from out()
+
+
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """Adds ``p``: half the distances of each fingerprint to the pivots, packed in a long."""
+    few = nodes.select("s0", "s1", F.xxhash64("fp", F.lit(7)).alias("d")).orderBy("d").limit(_PIVOT_SAMPLE).collect()
+    s0, s1 = (np.array([r[c] for r in few], np.int64).view(np.uint64) for c in ("s0", "s1"))
+    packed = F.lit(0).cast("long")
+    for i, at in enumerate(pivots(s0, s1)):
+        far = F.bit_count(F.col("s0").bitwiseXOR(F.lit(few[at]["s0"]))) + F.bit_count(F.col("s1").bitwiseXOR(F.lit(few[at]["s1"])))
+        packed = packed.bitwiseOR(F.shiftleft(F.shiftright(far, 1).cast("long"), 8 * i))
+    return nodes.withColumn("p", packed)
+
+
+def candidates(nodes: DataFrame, keys: DataFrame, radius: int = RADIUS, hot: int = 32, block_rows: int = 8192) -> DataFrame:
+    """Edges ``(a, b)`` that connect exactly what candidate pairs of ``nodes (fp, n, s0, s1)`` connect.
+
+    ``keys`` are rows ``(fp, keys)``, those of a node once or more. Keys move once, packed by ranges.
+    """
+    parts = shuffle_partitions(nodes.sparkSession)
+    packed = keys.select("fp", "keys").mapInArrow(partial(_packed, 4 * parts), "r int, keys binary, own binary, fps binary")
+    shared = packed.repartition(parts, "r").sortWithinPartitions("r").mapInArrow(_shared, "key long, fp long, many long")
+    held = stash(shared.join(pivot_table(nodes).select("fp", "n", "s0", "s1", "p"), "fp"), "neardup-keys")
     calm = held.where(F.col("many") <= hot)
     a, b = calm.alias("a"), calm.alias("b")
     alike = (F.col("a.n") * LEAST[1] >= F.col("b.n") * LEAST[0]) & (F.col("b.n") * LEAST[1] >= F.col("a.n") * LEAST[0])
+    near = within(F.col("a.p"), F.col("b.p"), (radius + 1) // 2)
     far = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & alike & (far <= radius))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & alike & near & (far <= radius))
     pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
     busy = held.where(F.col("many") > hot).select(F.col("key").alias("grp"), "fp", "n", "s0", "s1")
     dealt = _dealt(busy, F.lit(1), block_rows)
@@ -237,9 +327,9 @@ def candidates(nodes: DataFrame, radius: int = RADIUS, hot: int = 32, block_rows
     return cut(pairs.union(forest).distinct())
 
 
-def links(slim: DataFrame, nodes: DataFrame, shingle: int = 5, hot: int = 32, block_rows: int = 8192, block_words: int = 1_000_000) -> DataFrame:
+def links(slim: DataFrame, nodes: DataFrame, keys: DataFrame, shingle: int = 5, hot: int = 32, block_rows: int = 8192, block_words: int = 1_000_000) -> DataFrame:
     """Edges ``(a, b)`` over ``fp`` that connect exactly what links connect."""
-    grouped = connected_components(candidates(nodes, hot=hot, block_rows=block_rows), "a", "b").select(F.col("id").alias("fp"), F.col("component").alias("grp"))
+    grouped = connected_components(candidates(nodes, keys, hot=hot, block_rows=block_rows), "a", "b").select(F.col("id").alias("fp"), F.col("component").alias("grp"))
     members = nodes.join(grouped, "fp").select("fp", "grp", "n", F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key"))
     dealt = _dealt(cut(members), F.col("n"), block_words)
     texts = dealt.join(slim, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
@@ -256,8 +346,8 @@ def components(docs: DataFrame, shingle: int = 5, **sizes: int) -> DataFrame:
     slim = _slim(docs)
     prints = _prints(slim, shingle)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("r")
-    nodes = prints.where("n > 0").groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1", "keys")], least)
-    joined = connected_components(links(slim, stash(nodes, "neardup-nodes"), shingle, **sizes), "a", "b")
+    nodes = prints.where("n > 0").groupBy("fp").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1")], least)
+    joined = connected_components(links(slim, stash(nodes, "neardup-nodes"), prints.where("n > 0"), shingle, **sizes), "a", "b")
     named = prints.select("doc_id", "text_key", "fp").join(joined.withColumnRenamed("id", "fp"), "fp", "left")
     return named.select("doc_id", "text_key", F.coalesce("component", "fp").alias("root"))
 

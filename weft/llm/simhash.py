@@ -42,15 +42,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.neardup import keep_least
+from weft.llm.text import within as _within
 from weft.operators.components import connected_components
 from weft.session import cut
 
 _STEP = 32_768
 _SALTS = 16
 _LANES = 7
-_HIGH = 0x0080808080808080
-_LOW = 0x007F7F7F7F7F7F7F
-_ONES = 0x0001010101010101
 
 
 def simhash64(text: bytes | None, shingle: int = 4) -> int:
@@ -111,14 +109,6 @@ def pivot_table(prints: DataFrame, count: int = 21) -> DataFrame:
     return prints
 
 
-def _within(a: Column, b: Column, radius: int) -> Column:
-    """True if no packed coordinate differs by more than ``radius``."""
-    gap = a.bitwiseOR(F.lit(_HIGH)) - b + F.lit(radius * _ONES)
-    at_least = gap.bitwiseAND(F.lit(_HIGH)) == F.lit(_HIGH)
-    at_most = (gap.bitwiseAND(F.lit(_LOW)) + F.lit((127 - 2 * radius) * _ONES)).bitwiseAND(F.lit(_HIGH)) == F.lit(0)
-    return at_least & at_most
-
-
 def key_masks(blocks: int, radius: int) -> list[int]:
     """Masks of the bits that a key fixes, as signed longs, one for each key."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
