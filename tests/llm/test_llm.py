@@ -516,3 +516,17 @@ def test_near_copy_pivots_discard_and_keys_move_packed(spark):
         assert {tuple(sorted((r["a"], r["b"]), reverse=True)) for r in found} <= near
         reach = {r["id"]: r["component"] for r in neardup.connected_components(spark.createDataFrame(found), "a", "b").collect()}
         assert all(reach[i] == reach[j] for i, j in near)
+
+
+def test_lm_lexicon_counts_all_training_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 2)
+    told = []
+    make = lm.make_code
+    monkeypatch.setattr(lm, "make_code", lambda counts, rare, ends, *rest: told.append((counts, rare, ends)) or make(counts, rare, ends, *rest))
+    rows = [(i, f"both w{i // 2} only{i}") for i in range(60)]
+    lm.score(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    words = [w for i, text in rows if zlib.crc32(str(i).encode()) % 10 for w in text.split()]
+    often = {w for w in words if words.count(w) > 1}
+    counts, rare, ends = told[0]
+    assert len(counts) == len(often) and sum(counts.values()) == sum(w in often for w in words)
+    assert rare == sum(w not in often for w in words) and ends == len(words) // 3
